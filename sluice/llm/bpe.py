@@ -222,7 +222,7 @@ class WordBpe:
         find = self.words.findall
         cut = {p: (p,) if p.isalpha() else find(p) for p in parts if p[:1] != " "}
         by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for w in {w for ws in cut.values() for w in ws} - self.word.keys():
+        for w in {w for ws in cut.values() for w in ws if w not in self.word}:
             raw = w.encode()
             if len(raw) > ROW_LIMIT:
                 ids = merge_long([*self.inner[list(raw[:-1])].tolist(), int(self.final[raw[-1]])], self.rank_of)
