@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import gc
 import operator
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +43,23 @@ CACHE_WORDS = 200_000
 THRESHOLD = 0.3
 OTHER, AGAIN = 0, 1
 
-LOWER, UPPER, DIGITS, SAME = (regex.compile(p) for p in (r"[\p{Ll}\p{Lo}]+", r"\p{Lu}+", r"\p{N}+", r"(.)\1+"))
+SAME = re.compile(r"(.)\1+", re.DOTALL)
+
+
+class _Signs(dict):
+    """Code points to the sign of their kind; others stay."""
+
+    def __missing__(self, point: int) -> int:
+        kind = unicodedata.category(chr(point))
+        self[point] = sign = ord({"Ll": "a", "Lo": "a", "Lu": "A", "Nd": "0", "Nl": "0", "No": "0"}.get(kind, chr(point)))
+        return sign
+
+
+SIGNS = _Signs()
 
 
 def form(word: str) -> str:
-    return SAME.sub(r"\1", DIGITS.sub("0", UPPER.sub("A", LOWER.sub("a", word))))
+    return SAME.sub(r"\1", word.translate(SIGNS))
 
 
 def index_vector(unit: str) -> np.ndarray:
@@ -178,7 +191,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             found = np.concatenate([net.scores(texts[i : i + 256]) if net else np.full(len(texts[i : i + 256]), 0.5) for i in range(0, len(texts), 256)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
 
-    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
     return docs.select(*columns, text_col).mapInArrow(run, schema)
 
 
