@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, fingerprint, langid, packing, quality, simhash
+from sluice.llm import bpe, fingerprint, langid, packing, quality, simhash, suffix_dedup
 from sluice.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op5_fingerprint": op5_fingerprint,
+    "op7_suffix": op7_suffix,
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
     "op10_packing": op10_packing,
