@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, fingerprint, langid, lattice, packing, quality, simhash, suffix_dedup
+from sluice.llm import bpe, fingerprint, langid, lattice, packing, quality, simhash, suffix_dedup, vectors
 from sluice.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_lattice": op3_lattice,
     "op5_fingerprint": op5_fingerprint,
+    "op6_product": op6_product,
     "op7_suffix": op7_suffix,
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
