@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, fingerprint, langid, lattice, packing, quality, simhash, suffix_dedup, vectors
+from sluice.llm import bpe, fingerprint, html, langid, lattice, packing, quality, simhash, suffix_dedup, vectors
 from sluice.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_lattice": op3_lattice,
+    "op4_html": op4_html,
     "op5_fingerprint": op5_fingerprint,
     "op6_product": op6_product,
     "op7_suffix": op7_suffix,
