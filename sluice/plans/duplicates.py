@@ -1 +1,77 @@
-"""Placeholder."""
+"""Duplicate suggestions over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice import views as V
+from sluice.functions import text as T
+from sluice.operators import duplicates as D
+from sluice.operators.components import groups
+from sluice.plans.registry import query
+
+
+def _known(spark, sf):
+    return D.identity(V.applications(spark, sf), ascii_only=True)
+
+
+KNOWN = "WITH known AS (SELECT id, applied_date, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS company, trim(regexp_replace(lower(role), '[^a-z0-9]+', ' ', 'g')) AS role, job_url AS url FROM application WHERE record_state = 'active')"
+BLOCK = KNOWN + """, exact AS (SELECT l.id AS lo, r.id AS hi FROM known l JOIN known r ON l.company = r.company AND l.role = r.role AND l.id < r.id WHERE abs(epoch(l.applied_date - r.applied_date)) <= 180 * 86400)
+"""
+
+
+@query(BLOCK + "SELECT lo, hi FROM exact")
+def dup_pairs_company_role(spark, sf):
+    found = D.candidate_pairs(_known(spark, sf).withColumn("url", F.lit(None).cast("string")))
+    return found.select("lo", "hi")
+
+
+@query(BLOCK + "SELECT lo, hi FROM exact UNION SELECT l.id, r.id FROM known l JOIN known r ON l.url = r.url AND l.id < r.id WHERE l.company = r.company AND (l.role = r.role OR abs(epoch(l.applied_date - r.applied_date)) <= 180 * 86400)")
+def dup_pairs_same_company(spark, sf):
+    """Pairs by any of the three ways, of which those at one company are compared here:
+    fuzzy likeness of company names has no SQL."""
+    known = _known(spark, sf)
+    names = known.select("id", "company")
+    pairs = D.candidate_pairs(known)
+    a, b = (names.select(F.col("id").alias(k), F.col("company").alias(c)) for k, c in (("lo", "x"), ("hi", "y")))
+    near = pairs.join(a, "lo").join(b, "hi").filter("x = y")
+    return near.select("lo", "hi")
+
+
+@query()
+def dup_pairs(spark, sf):
+    return D.candidate_pairs(_known(spark, sf)).select("lo", "hi", "score", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(BLOCK + ", d AS (SELECT lo || ':' || hi AS k FROM exact WHERE (lo + hi) % 3 = 0) SELECT lo, hi FROM exact WHERE lo || ':' || hi NOT IN (SELECT k FROM d)")
+def dup_pairs_undismissed(spark, sf):
+    found = dup_pairs_company_role(spark, sf)
+    gone = found.filter("(lo + hi) % 3 = 0").select(D.pair_key(F.col("lo"), F.col("hi")).alias("pair_key"))
+    return D.undismissed(found, gone).select("lo", "hi")
+
+
+COMPONENTS = BLOCK.replace("WITH known", "WITH RECURSIVE known") + """, e AS (SELECT lo AS a, hi AS b FROM exact UNION SELECT hi, lo FROM exact), walk AS (SELECT a AS id, a AS seen FROM e UNION SELECT w.id, e.b FROM walk w JOIN e ON e.a = w.seen),
+g AS (SELECT id, min(seen) AS root FROM walk GROUP BY 1)
+"""
+
+
+@query(COMPONENTS + "SELECT id, root FROM g")
+def dup_groups(spark, sf):
+    return groups(dup_pairs_company_role(spark, sf), "lo", "hi")
+
+
+@query(COMPONENTS + "SELECT root, count(*) AS size, date_diff('day', CAST(min(applied_date) AS DATE), CAST(max(applied_date) AS DATE)) AS days, count(DISTINCT role) AS roles FROM g JOIN known USING (id) GROUP BY 1")
+def dup_group_features(spark, sf):
+    known = _known(spark, sf).withColumn("url", F.lit(None).cast("string"))
+    return D.group_features(D.candidate_pairs(known), known).select("root", "size", F.col("days").cast("long").alias("days"), "roles")
+
+
+@query(KNOWN + "SELECT count(*) AS applications, count(DISTINCT company) AS companies, count(DISTINCT role) AS roles, count(url) AS with_url, count(DISTINCT url) AS urls FROM known")
+def identity_summary(spark, sf):
+    return _known(spark, sf).agg(F.count("*").alias("applications"), F.count_distinct("company").alias("companies"), F.count_distinct("role").alias("roles"), F.count("url").alias("with_url"), F.count_distinct("url").alias("urls"))
+
+
+@query("SELECT id, company AS raw, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS normal FROM application WHERE trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) IS DISTINCT FROM lower(company)")
+def identity_backfill(spark, sf):
+    apps = V.applications(spark, sf).select("id", F.col("company").alias("raw"), T.company(F.col("company"), ascii_only=True).alias("normal"))
+    return apps.filter(~F.col("normal").eqNullSafe(F.lower("raw")))
