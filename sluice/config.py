@@ -6,7 +6,11 @@ from dataclasses import dataclass, fields
 
 # The domains of enumerated columns.
 STATUSES = ["Applied", "Resume Shortlisted", "Interview Scheduled", "Interview In Progress", "Offer Negotiation", "Offer", "Joined", "Rejected", "Withdrawn"]
-EVENT_TYPES = ["Application Submitted", "Resume Shortlisted", "Interview Scheduled", "Interview Attended", "Offer Received", "Joined", "Rejected", "Withdrawn"]
+EVENT_TYPES = ["Application Submitted", "Recruiter Response", "Interview Scheduled", "Interview Attended", "Offer Received", "Rejected", "Withdrawn"]
+#: Milestones that an application has once.
+ONCE = ["Application Submitted", "Offer Received", "Rejected"]
+#: How far a status is, when merged records disagree.
+RANK = {"Applied": 0, "Resume Shortlisted": 1, "Interview Scheduled": 2, "Interview In Progress": 3, "Offer Negotiation": 4, "Rejected": 4, "Withdrawn": 4, "Offer": 5, "Joined": 6}
 PROSPECT_STATUSES = ["new", "reviewed", "converted", "dismissed"]
 EVIDENCE_STATUSES = ["unprocessed", "processing", "linked", "needs_review", "ignored", "failed"]
 
@@ -19,6 +23,20 @@ RESPONDED = [*SHORTLISTED, "Rejected"]
 ACTIVE = ["Applied", "Resume Shortlisted", "Interview Scheduled", "Interview In Progress", "Offer Negotiation"]
 TERMINAL = ["Rejected", "Withdrawn"]
 
+# What a signal may change a status to, forward only.
+_LATE = ["Offer Negotiation", "Offer", "Rejected"]
+TRANSITIONS = {
+    "Applied": ["Resume Shortlisted", "Interview Scheduled", "Interview In Progress", *_LATE],
+    "Resume Shortlisted": ["Interview Scheduled", "Interview In Progress", *_LATE],
+    "Interview Scheduled": ["Interview In Progress", *_LATE],
+    "Interview In Progress": _LATE,
+    "Offer Negotiation": ["Offer", "Withdrawn"],
+    "Offer": ["Joined", "Withdrawn"],
+    "Joined": [],
+    "Rejected": [],
+    "Withdrawn": [],
+}
+
 # Thresholds.
 STALE_DAYS = 14
 MIN_APPLICATIONS = 10

@@ -11,7 +11,7 @@ from sluice.plans.insights import AS_OF, SEEN
 from sluice.plans.registry import query
 
 #: The milestone that a status implies.
-MILESTONE_OF = {"Applied": "Application Submitted", "Resume Shortlisted": "Resume Shortlisted", "Interview Scheduled": "Interview Scheduled", "Interview In Progress": "Interview Attended", "Offer Negotiation": "Offer Received", "Offer": "Offer Received", "Joined": "Joined", "Rejected": "Rejected"}
+MILESTONE_OF = {"Applied": "Application Submitted", "Resume Shortlisted": "Recruiter Response", "Interview Scheduled": "Interview Scheduled", "Interview In Progress": "Interview Attended", "Offer Negotiation": "Offer Received", "Offer": "Offer Received", "Joined": "Offer Received", "Rejected": "Rejected"}
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -176,7 +176,7 @@ def source_item_counts(spark, sf):
     return parts.join(items, parts.key == items.item_key, "left").groupBy(F.col("p_brand").alias("source")).agg(F.count("item_key").alias("items"))
 
 
-@query("""WITH m AS (SELECT id AS history_id, application_id, changed_at, CASE to_status WHEN 'Applied' THEN 'Application Submitted' WHEN 'Interview In Progress' THEN 'Interview Attended' WHEN 'Offer Negotiation' THEN 'Offer Received' WHEN 'Offer' THEN 'Offer Received' WHEN 'Withdrawn' THEN NULL ELSE to_status END AS event_type FROM history WHERE superseded_by IS NULL)
+@query("""WITH m AS (SELECT id AS history_id, application_id, changed_at, CASE to_status WHEN 'Applied' THEN 'Application Submitted' WHEN 'Resume Shortlisted' THEN 'Recruiter Response' WHEN 'Joined' THEN 'Offer Received' WHEN 'Interview In Progress' THEN 'Interview Attended' WHEN 'Offer Negotiation' THEN 'Offer Received' WHEN 'Offer' THEN 'Offer Received' WHEN 'Withdrawn' THEN NULL ELSE to_status END AS event_type FROM history WHERE superseded_by IS NULL)
 SELECT event_type, count(*) AS n FROM m WHERE event_type IS NOT NULL AND history_id NOT IN (SELECT history_id FROM milestone WHERE history_id IS NOT NULL) GROUP BY 1""")
 def missing_milestones(spark, sf):
     return L.missing_milestones(V.history(spark, sf), V.milestones(spark, sf), MILESTONE_OF).groupBy("event_type").agg(F.count("*").alias("n"))
