@@ -1 +1,77 @@
-"""Placeholder."""
+"""Sources over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice import views as V
+from sluice.plans.registry import query
+from sluice.sources import mail, observations, rules, tables
+
+RULES = [{"portal": "mail0", "domains": ["mail0.example.com"], "subjects": ["click"]}, {"portal": "any", "domains": ["example.com"]}, {"portal": "fallback", "subjects": ["purchase"]}]
+
+
+def _mail(spark, sf):
+    """Events as landed mail: a message each with headers and two parts."""
+    e = V.evidence(spark, sf).join(V.read(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type"), "id")
+    head = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("From", F.concat(F.lit("R <"), "sender", F.lit(">"))), ("subject", F.concat(F.lit("Re: "), "event_type")), ("Date", F.concat(F.date_format("occurred_at", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000"))))])
+    part = lambda kind, text: F.struct(F.lit(kind).alias("mimeType"), F.struct(F.base64(F.encode(text, "UTF-8")).alias("data")).alias("body"))
+    payload = F.struct(F.lit("multipart/mixed").alias("mimeType"), head.alias("headers"), F.array(part("text/html", F.lit("<p>")), part("text/plain", F.concat(F.lit("body of "), F.col("id").cast("string")))).alias("parts"))
+    return e.select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), F.col("application_id").cast("string")).alias("threadId"), payload.alias("payload"))).alias("value"))
+
+
+@query("SELECT CAST(e.id AS VARCHAR) AS message_id, 'R <' || sender || '>' AS sender, 'Re: ' || event_type AS subject, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS date, 'body of ' || e.id AS body_text FROM evidence e JOIN events ON event_id = e.id")
+def mail_decoded(spark, sf):
+    d = mail.decode(_mail(spark, sf))
+    return d.select("message_id", "sender", "subject", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "body_text")
+
+
+@query("SELECT CASE WHEN split_part(sender, '@', 2) = 'mail0.example.com' AND event_type = 'click' THEN 'mail0' ELSE 'any' END AS portal, count(*) AS n FROM evidence e JOIN events ON event_id = e.id GROUP BY 1")
+def mail_portals(spark, sf):
+    return rules.match(mail.decode(_mail(spark, sf)), RULES).groupBy("portal").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM evidence e JOIN events ON event_id = e.id WHERE NOT starts_with(sender, 'recruit0@') AND NOT (starts_with(sender, 'recruit1@') AND event_type = 'error')")
+def mail_unsuppressed(spark, sf):
+    kept = rules.unsuppressed(mail.decode(_mail(spark, sf)), [{"sender": "recruit0@"}, {"sender": "recruit1@", "subject": "error"}, {"sender": "((bad"}])
+    return kept.agg(F.count("*").alias("n"))
+
+
+def _lines(spark, sf):
+    o = V.observations(spark, sf)
+    row = F.to_json(F.struct("source_key", F.col("item_key").alias("source_item_id"), F.when(F.pmod("id", F.lit(10)) > 0, "Acme").alias("company"), V.choose(V.mod("id", 3), ["applied", "offer", "odd"]).alias("status"), F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observed_at")))
+    return o.select(F.when(F.pmod("id", F.lit(101)) == 0, F.lit("not json")).otherwise(row).alias("value"))
+
+
+@query("""WITH o AS (SELECT *, id % 101 = 0 AS junk, id % 10 = 0 AS nameless, id % 3 = 2 AS odd, observed_at < TIMESTAMP '2001-08-01' - INTERVAL 400 DAY OR observed_at > TIMESTAMP '2001-08-01 00:05:00' AS late FROM observation)
+SELECT count(*) FILTER (NOT junk AND NOT nameless AND NOT odd AND NOT late) AS good, count(*) FILTER (junk OR nameless OR odd OR late) AS bad, count(*) FILTER (junk) AS not_json FROM o""")
+def observation_checks(spark, sf):
+    rows = observations.parse(_lines(spark, sf))
+    bad = F.size(observations.problems(V.AS_OF)) > 0
+    return rows.agg(F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("not_json"))
+
+
+@query("SELECT o_orderkey AS paste_id, c_name AS company, o_orderpriority AS role, strftime(o_orderdate, '%Y-%m-%d') AS applied_on FROM orders JOIN customer ON c_custkey = o_custkey")
+def pasted_entries(spark, sf):
+    a = V.read(spark, sf, "orders").join(V.read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    text = F.concat_ws("\n", F.lit(""), "o_orderpriority", F.concat(F.lit("• "), "c_name", F.lit(" · Pune")), F.lit("  "), F.concat(F.lit("Applied on "), F.date_format("o_orderdate", "d MMM yyyy")))
+    found = tables.pasted(a.select(F.col("o_orderkey").alias("paste_id"), text.alias("text")), F.lit(V.AS_OF).cast("date"))
+    return found.select("paste_id", "company", "role", F.date_format("applied_on", "yyyy-MM-dd").alias("applied_on"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Offer' WHEN 1 THEN 'Applied' ELSE 'Rejected' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'Unknown' ELSE c_mktsegment END AS portal, strftime(o_orderdate, '%Y-%m-%d') AS applied_on FROM orders JOIN customer ON c_custkey = o_custkey")
+def sheet_rows(spark, sf):
+    a = V.read(spark, sf, "orders").join(V.read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = a.select(F.col("o_orderkey").cast("string").alias("company"), F.lit("x").alias("role"), F.when(V.mod("o_orderkey", 2) == 1, F.col("c_mktsegment")).alias("portal"), V.choose(V.mod("o_orderkey", 3), [" OFFER", "whatever", "rejected"]).alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("applied"))
+    return tables.sheet(rows).select(F.col("company").cast("long").alias("id"), "status", "portal", F.date_format("applied_on", "yyyy-MM-dd").alias("applied_on"))
+
+
+@query("WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages) SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets FROM l GROUP BY 1")
+def page_links(spark, sf):
+    return tables.page_links(V.read(spark, sf, "pages")).groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"))
+
+
+@query("SELECT 'list' AS state, count(*) AS n FROM pages")
+def page_states(spark, sf):
+    p = V.read(spark, sf, "pages")
+    return p.groupBy(tables.page_state(F.col("html"), F.col("url")).alias("state")).agg(F.count("*").alias("n"))
