@@ -42,5 +42,5 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return put
 
 
-for module in ("insights", "lists", "text", "duplicates", "resolving", "merging", "ledgers", "audits", "reading"):
+for module in ("insights", "lists", "text", "duplicates", "resolving", "merging", "ledgers", "audits", "reading", "bulk"):
     import_module(f"sluice.plans.{module}")
