@@ -212,7 +212,7 @@ def table_counts(spark, sf):
     return a.crossJoin(V.read(spark, sf, "events").agg(F.count("*").alias("processed")))  # one row each
 
 
-@query("SELECT user_id, ts_s, admitted FROM (SELECT user_id, CAST(epoch(ts) AS BIGINT) AS ts_s, count(*) OVER (PARTITION BY user_id ORDER BY CAST(epoch(ts) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS admitted FROM events) WHERE admitted > 3")
+@query("SELECT user_id, ts_s, admitted FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS admitted FROM events) WHERE admitted > 3")
 def sliding_hits(spark, sf):
     from pyspark.sql import Window
 
