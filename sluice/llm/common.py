@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +35,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished steps, which it does
-    when the driver's JVM collects its garbage."""
+    when the driver's JVM collects its garbage; the last plan that ran is still held,
+    so a small one runs first."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.range(1).collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
