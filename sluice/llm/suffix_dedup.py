@@ -10,7 +10,9 @@ and binary search; neighbours that share WIDTH bytes are verified byte by byte.
 
 Common anchors: where one is frequent in a few megabytes of text its occurrences are
 salted there, and groups are cut every CHUNK occurrences. Of such groups the windows
-that are first in their chunk meet once more by their MD5, under partial aggregates.
+that are first in their chunk meet once more by their MD5, under partial aggregates: first by
+what BAND neighbouring windows share, which leaves out nearly all that no other chunk
+has, then one by one.
 Later copies of a whole text are known by their MD5 beforehand.
 
 Null texts are empty. Rows of one id don't see each other's texts; within one row the
@@ -38,6 +40,7 @@ WIDTH = 100
 GRAM = 32
 CHUNK = 2048
 LOCAL = 24
+BAND = 8
 GROUP_BYTES = 2 << 20
 LAST = (1 << 63) - 1
 #: Where the parts of a packed place begin: position, windows before the anchor (first, last), whether its group is cut.
@@ -264,8 +267,9 @@ def spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def removed(pieces: DataFrame) -> DataFrame:
-    """(o, t, a, b, w): stretches to remove (w null) and, of cut groups, the windows that
-    are first in their chunk with their MD5."""
+    """(o, t, a, b, w, starts, digests): stretches to remove (w null) and, of cut groups,
+    the windows that are first in their chunk: the MD5 of each, for every BAND places
+    about the anchor together, and in w that of what the windows of a band share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -306,17 +310,20 @@ def removed(pieces: DataFrame) -> DataFrame:
         rows = order[np.flatnonzero(change)]
         doc, a, b = spans(number[i[gone]], start[gone])
         doc = rows[doc]
+        rows_ = [(int(o[d]), int(t[d]), x, y, None, None, None) for d, x, y in zip(doc.tolist(), a.tolist(), b.tolist(), strict=True)]
         open_ = np.flatnonzero(~gone & (v[i] & 1 == 1))
-        digests = [None] * len(doc)
-        for k in open_:
-            x = i[k]
-            at = (v[x] >> FIRST & 127) - before[k]
-            digests.append(hashlib.md5(parts[x][at : at + WIDTH]).digest())
-        doc = np.concatenate([doc, i[open_]])
-        a, b = np.concatenate([a, start[open_]]), np.concatenate([b, start[open_] + WIDTH])
-        return pa.RecordBatch.from_arrays([pa.array(o[doc]), pa.array(t[doc].astype(np.int32)), pa.array(a), pa.array(b), pa.array(digests, pa.binary())], names=["o", "t", "a", "b", "w"])
+        bands: dict[tuple[int, int], list[int]] = {}
+        for k in open_.tolist():
+            bands.setdefault((int(i[k]), int(before[k]) // BAND), []).append(k)
+        for (x, band), ks in bands.items():
+            at = int(v[x] >> FIRST & 127)
+            common = parts[x][at - BAND * band : at - BAND * band - BAND + 1 + WIDTH]
+            digests = [hashlib.md5(parts[x][at - n : at - n + WIDTH]).digest() for n in before[ks].tolist()]
+            rows_.append((int(o[x]), int(t[x]), None, None, hashlib.md5(common).digest() + bytes([band]), start[ks].tolist(), digests))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows_], k) for c, k in enumerate(kinds)], names=["o", "t", "a", "b", "w", "starts", "digests"])
 
-    return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(run, "o long, t int, a long, b long, w binary")
+    return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(run, "o long, t int, a long, b long, w binary, starts array<long>, digests array<binary>")
 
 
 def repeated_spans(docs: DataFrame, order: Column, text: Column) -> DataFrame:
@@ -332,10 +339,13 @@ def repeated_spans(docs: DataFrame, order: Column, text: Column) -> DataFrame:
     pieces = removed(stretches(base, dups))
     found = written(pieces, "found")
     released(docs.sparkSession)
-    cut = found.filter("w IS NOT NULL").select("o", "t", "a", "b", "w")
+    cut = found.filter("w IS NOT NULL").select("o", "t", "w", "starts", "digests")
+    met = cut.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+    cut = cut.join(met, "w").select("o", "t", F.explode(F.arrays_zip("starts", "digests")).alias("x")).select("o", "t", F.col("x.starts").alias("a"), F.col("x.digests").alias("w"))
+    cut = written(cut, "windows")
     own = cut.groupBy("w", "o", "t").agg(F.min("a").alias("own"))
     first = own.groupBy("w").agg(F.min("o").alias("first"))
-    again = cut.join(own, ["w", "o", "t"]).join(first, "w").filter("o > first OR a > own").select("o", "t", "a", "b")
+    again = cut.join(own, ["w", "o", "t"]).join(first, "w").filter("o > first OR a > own").select("o", "t", "a", (F.col("a") + WIDTH).alias("b"))
     gone = found.filter("w IS NULL").select("o", "t", "a", "b").unionByName(again).unionByName(copies.select("o", "t", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     return gone.groupBy("o", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
