@@ -177,7 +177,7 @@ def rejection_trend(spark, sf):
     return I.rejection_trend(V.applications(spark, sf), V.AS_OF)
 
 
-@query(f"SELECT count(*) AS n, min(updated_at)::VARCHAR[:10] AS oldest FROM application WHERE {SEEN} AND current_status = 'Applied' AND updated_at < {AS_OF} - INTERVAL 14 DAY".replace("min(updated_at)::VARCHAR[:10]", "strftime(min(updated_at), '%Y-%m-%d')"))
+@query(f"SELECT count(*) AS n, strftime(min(updated_at), '%Y-%m-%d') AS oldest FROM application WHERE {SEEN} AND current_status = 'Applied' AND updated_at < {AS_OF} - INTERVAL 14 DAY")
 def stale_count(spark, sf):
     from pyspark.sql import functions as F
 

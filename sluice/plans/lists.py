@@ -135,12 +135,14 @@ def thread_index(spark, sf):
     return links.agg(F.count("*").alias("links"), F.count_distinct("thread_id").alias("threads"), F.count_distinct("id").alias("applications"))
 
 
-@query("SELECT a.id, strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S') AS last_evidence_at FROM application a LEFT JOIN evidence e ON e.application_id = a.id WHERE a.id <= 200 GROUP BY 1".replace("WHERE a.id <= 200 ", ""))
+@query("SELECT a.id, strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S') AS last_evidence_at FROM application a LEFT JOIN evidence e ON e.application_id = a.id GROUP BY 1")
 def last_evidence_at(spark, sf):
     return L.last_evidence(V.applications(spark, sf), V.evidence(spark, sf)).select("id", stamp("last_evidence_at"))
 
 
-@query("SELECT application_id, list_sort(list_distinct(list(split_part(sender, '@', 2)))) AS domains, coalesce(list_sort(list_distinct(list(sender) FILTER (decided_by = 'human'))), []) AS human_senders, coalesce(list_sort(list_distinct(list(sender) FILTER (decided_by = 'resolver'))), []) AS resolver_senders FROM evidence WHERE application_id IS NOT NULL GROUP BY 1".replace("list_sort(list_distinct(list(split_part(sender, '@', 2)))) AS domains", "array_to_string(list_sort(list_distinct(list(split_part(sender, '@', 2)))), ',') AS domains").replace("coalesce(list_sort(list_distinct(list(sender) FILTER (decided_by = 'human'))), [])", "coalesce(array_to_string(list_sort(list_distinct(list(sender) FILTER (decided_by = 'human'))), ','), '')").replace("coalesce(list_sort(list_distinct(list(sender) FILTER (decided_by = 'resolver'))), [])", "coalesce(array_to_string(list_sort(list_distinct(list(sender) FILTER (decided_by = 'resolver'))), ','), '')"))
+@query("""SELECT application_id, array_to_string(list_sort(list_distinct(list(split_part(sender, '@', 2)))), ',') AS domains,
+  coalesce(array_to_string(list_sort(list_distinct(list(sender) FILTER (decided_by = 'human'))), ','), '') AS human_senders,
+  coalesce(array_to_string(list_sort(list_distinct(list(sender) FILTER (decided_by = 'resolver'))), ','), '') AS resolver_senders FROM evidence WHERE application_id IS NOT NULL GROUP BY 1""")
 def evidence_identities(spark, sf):
     found = L.identities(V.evidence(spark, sf))
     return found.select("application_id", *[F.array_join(c, ",").alias(c) for c in ("domains", "human_senders", "resolver_senders")])

@@ -20,7 +20,7 @@ def _groups(spark, sf):
 GROUPS = f"WITH app AS (SELECT * FROM application WHERE {SEEN}), g AS (SELECT * FROM (SELECT min(id) OVER w AS root, id, count(*) OVER w AS n FROM app WINDOW w AS (PARTITION BY company, role)) WHERE n BETWEEN 2 AND 20)\n"
 
 
-@query("""SELECT count(*) AS rows, count(DISTINCT application_id) AS applications FROM (SELECT *, row_number() OVER (PARTITION BY application_id, from_status, to_status ORDER BY changed_at, id) AS n FROM history WHERE superseded_by IS NULL OR superseded_by IS NOT NULL) WHERE n > 1""".replace(" WHERE superseded_by IS NULL OR superseded_by IS NOT NULL", ""))
+@query("""SELECT count(*) AS rows, count(DISTINCT application_id) AS applications FROM (SELECT *, row_number() OVER (PARTITION BY application_id, from_status, to_status ORDER BY changed_at, id) AS n FROM history) WHERE n > 1""")
 def superseded_history(spark, sf):
     return M.superseded_history(V.history(spark, sf), "application_id").agg(F.count("*").alias("rows"), F.count_distinct("application_id").alias("applications"))
 

@@ -46,7 +46,7 @@ m AS (SELECT o_orderkey AS evidence_id, regexp_replace(lower(c_name), '[^a-z0-9]
 w AS (SELECT split_part(company, ' ', 1) AS word, id, row_number() OVER (PARTITION BY split_part(company, ' ', 1) ORDER BY id) AS n FROM a),
 p AS (SELECT evidence_id, id, 4 AS tier FROM m JOIN c USING (company) WHERE n <= 50 UNION ALL SELECT evidence_id, id, 5 FROM m JOIN w ON w.word = split_part(m.company, ' ', 1) WHERE n <= 25),
 o AS (SELECT evidence_id, id, min(tier) AS tier FROM p GROUP BY 1, 2), r AS (SELECT evidence_id, id, row_number() OVER (PARTITION BY evidence_id ORDER BY tier, id) AS n FROM o)
-SELECT evidence_id, count(*) AS candidates, sum(id)::BIGINT AS ids FROM r WHERE n <= 25 GROUP BY 1""".replace("sum(id)::BIGINT", "CAST(sum(id) AS BIGINT)"))
+SELECT evidence_id, count(*) AS candidates, CAST(sum(id) AS BIGINT) AS ids FROM r WHERE n <= 25 GROUP BY 1""")
 def candidates_by_company(spark, sf):
     none = F.lit(None).cast("string")
     messages = _messages(spark, sf).withColumns({"thread_id": none, "url": none})
