@@ -2,10 +2,13 @@
 
 A coarse quantiser cuts the unit sphere into inverted lists; what a vector differs from
 its list's centre by is coded by the nearest of CODES centres in each of SUBSPACES
-subspaces. Every vector is also a query: it probes the PROBES nearest lists, reads its
-distance to every code there from lookup tables (asymmetric: the query isn't coded) and
+subspaces. Every vector is also a query: it probes every list that may hold a vector
+within reach (one whose bisecting plane with the query's own list is no further away than
+the reach: what lies in that list lies behind the plane) and has no smaller number, reads its distance to every code there from lookup tables (asymmetric: the query isn't coded) and
 discards what is further than the reach plus the coded vector's own quantisation error.
-By the triangle inequality that loses nothing, so only the probes bound the recall.
+By the triangle inequality that loses nothing, and neither do the probes, at any size.
+A link between two lists is found from the
+list of the smaller number.
 Survivors are compared by exact cosine in double precision.
 
 Centres are fitted on a bounded sample (SAMPLE vectors, by a hash of their bytes); every
@@ -38,7 +41,6 @@ COSINE = 0.95
 SAMPLE = 8192
 LIST_SIZE = 160
 MOST_LISTS = 1024
-PROBES = 4
 SUBSPACES = 8
 CODES = 64
 CHUNK = 256
@@ -70,16 +72,17 @@ class Index:
     coarse: np.ndarray
     books: list[np.ndarray]
     parts: list[slice]
+    reach: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, seed: int = 5) -> Index:
+    def fit(cls, sample: np.ndarray, rows: int, seed: int = 5, cosine: float = COSINE) -> Index:
         rng = np.random.default_rng(seed)
         lists = int(min(MOST_LISTS, max(1, rows // LIST_SIZE), max(1, len(sample) // 4)))
         coarse = kmeans(sample, lists, rng)
         rest = sample - coarse[nearest(sample, coarse)]
         edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         parts = [slice(a, b) for a, b in zip(edges, edges[1:])]
-        return cls(coarse, [kmeans(rest[:, p], CODES, rng) for p in parts], parts)
+        return cls(coarse, [kmeans(rest[:, p], CODES, rng) for p in parts], parts, float(np.sqrt(max(0.0, 2 - 2 * cosine))))
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes and the norm of what they miss."""
@@ -90,12 +93,22 @@ class Index:
         return codes.astype(np.uint8), np.sqrt((rest * rest).sum(1))
 
     def probes(self, x: np.ndarray) -> np.ndarray:
-        """The nearest lists, nearest first."""
-        score = (self.coarse * self.coarse).sum(1) / 2 - x @ self.coarse.T
-        n = min(PROBES, len(self.coarse))
-        some = np.argpartition(score, n - 1, axis=1)[:, :n]
-        order = np.argsort(np.take_along_axis(score, some, 1), axis=1, kind="stable")
-        return np.take_along_axis(some, order, 1)
+        """The nearest list, then those of greater numbers that may hold a vector within
+        reach; rows are filled up with -1."""
+        half = (self.coarse * self.coarse).sum(1) / 2
+        between = np.sqrt(np.maximum(0, 2 * (half[:, None] + half - self.coarse @ self.coarse.T)))
+        found = []
+        for i in range(0, len(x), 512):
+            score = half - x[i : i + 512] @ self.coarse.T
+            home = score.argmin(1)
+            rows = np.arange(len(home))
+            asked = score - score[rows, home][:, None] <= self.reach * between[home] + 1e-6  # halves of squared distances
+            asked &= np.arange(len(self.coarse)) > home[:, None]
+            found += [np.concatenate([[h], np.flatnonzero(a)]) for h, a in zip(home, asked, strict=True)]
+        out = np.full((len(found), max(map(len, found), default=1)), -1)
+        for row, lists in zip(out, found, strict=True):
+            row[: len(lists)] = lists
+        return out
 
     def tables(self, query: np.ndarray, at: int) -> np.ndarray:
         """Squared distances of each query's residual to all codes (subspaces, queries, codes)."""
@@ -153,7 +166,7 @@ def units_of(vectors: DataFrame, indexes: dict[int, Index], cuts: dict) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim, chunks = sent.value
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):  # a vector may have hundreds of lists
             out: list[list] = [[] for _ in range(8)]
             k, many, raw = batch.column("k").to_numpy(), batch.column("many").to_numpy(), batch.column("u").to_pylist()
             for dim, rows in by_length(raw).items():
@@ -163,14 +176,14 @@ def units_of(vectors: DataFrame, indexes: dict[int, Index], cuts: dict) -> DataF
                 codes, missed = index.encode(x, probes[:, 0])
                 for i, lists, code, miss in zip(rows, probes.tolist(), codes, missed.tolist(), strict=True):
                     own, asked = chunks.get((dim, lists[0]), (1, 1))
+                    home = np.int32(lists[0]).tobytes()
                     mine = int(k[i]) * 0x9E3779B97F4A7C15 >> 20
-                    extra = np.array(lists, np.int32).tobytes()
                     for q in range(asked):
-                        _add(out, dim, lists[0], mine % own, q, 0, int(k[i]), int(many[i]), raw[i] + code.tobytes() + np.float64(miss).tobytes() + extra)
-                    for at in lists:
+                        _add(out, dim, lists[0], mine % own, q, 0, int(k[i]), int(many[i]), raw[i] + code.tobytes() + np.float64(miss).tobytes())
+                    for at in filter(lambda at: at >= 0, lists):
                         own, asked = chunks.get((dim, at), (1, 1))
                         for c in range(own):
-                            _add(out, dim, at, c, mine % asked, 1, int(k[i]), int(many[i]), raw[i] + extra)
+                            _add(out, dim, at, c, mine % asked, 1, int(k[i]), int(many[i]), raw[i] + home)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["dim", "list", "c", "q", "side", "k", "many", "raw"])
 
@@ -198,7 +211,7 @@ def list_sizes(vectors: DataFrame, indexes: dict[int, Index]) -> dict:
             raw = batch.column(0).to_pylist()
             for dim, rows in by_length(raw).items():
                 probes = sent.value[dim].probes(np.stack([np.frombuffer(raw[i]) for i in rows]))
-                for side, lists in ((0, probes[:, 0]), (1, probes.ravel())):
+                for side, lists in ((0, probes[:, 0]), (1, probes[probes >= 0])):
                     for at, n in zip(*np.unique(lists, return_counts=True)):
                         counts.setdefault((dim, int(at)), [0, 0])[side] += int(n)
         rows = [(*k, *v) for k, v in counts.items()]
@@ -210,7 +223,8 @@ def list_sizes(vectors: DataFrame, indexes: dict[int, Index]) -> dict:
 
 def link_units(units: DataFrame, indexes: dict[int, Index], cosine: float) -> DataFrame:
     """(k, n, a, b): links of vectors by number (n: rows linked to k), and the links a, b
-    of the task's forest. A pair found from both sides counts once for each."""
+    of the task's forest. A link within a list is found from each of its ends, and one between
+    lists once."""
     sent = units.sparkSession.sparkContext.broadcast(indexes)
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
@@ -243,8 +257,8 @@ def link_units(units: DataFrame, indexes: dict[int, Index], cosine: float) -> Da
         x = np.stack([np.frombuffer(r, np.float64, dim) for r in raw])
         codes = np.stack([np.frombuffer(raw[i], np.uint8, parts, 8 * dim) for i in member])
         missed = np.array([np.frombuffer(raw[i], np.float64, 1, 8 * dim + parts)[0] for i in member])
-        asks = np.stack([np.frombuffer(raw[i], np.int32, offset=8 * dim + parts + 8) for i in member])
-        home = np.array([np.frombuffer(raw[i], np.int32, 1, 8 * dim)[0] for i in query])
+        away = np.zeros(len(raw), bool)
+        away[query] = [np.frombuffer(raw[i], np.int32, 1, 8 * dim)[0] != at for i in query]
         q, m = index.candidates(x[query], at, codes, missed, reach)
         q, m = query[q], m
         apart = k[q] != k[member[m]]
@@ -256,11 +270,8 @@ def link_units(units: DataFrame, indexes: dict[int, Index], cosine: float) -> Da
         q, m = q[good], m[good]
         if not len(q):
             return
-        place = np.full(len(k), -1)
-        place[query] = np.arange(len(query))
-        back = (asks[m] == home[place[q]][:, None]).any(1)  # the member finds the query as well
         member_ = member[m]
-        got = np.bincount(q, many[member_], len(k)) + np.bincount(member_[~back], many[q[~back]], len(k))
+        got = np.bincount(q, many[member_], len(k)) + np.bincount(member_[away[q]], many[q[away[q]]], len(k))
         for i in np.flatnonzero(got).tolist():
             counts[int(k[i])] = counts.get(int(k[i]), 0) + int(got[i])
         for a, b in np.unique(np.stack([k[q], k[member_]], axis=1), axis=0).tolist():
@@ -278,7 +289,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     indexes = {}
     for dim, n in dims.items():
         sample = vectors.filter(F.octet_length("u") == 8 * dim).orderBy("d").limit(SAMPLE).select("u").collect()
-        indexes[dim] = Index.fit(np.stack([np.frombuffer(bytes(r.u)) for r in sample]), n)
+        indexes[dim] = Index.fit(np.stack([np.frombuffer(bytes(r.u)) for r in sample]), n, cosine=cosine)
     units = units_of(vectors, indexes, list_sizes(vectors, indexes))
     found = written(link_units(units, indexes, cosine), "near")
     released(rows.sparkSession)
@@ -297,7 +308,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 def recall(vectors: np.ndarray, cosine: float = COSINE) -> float:
     """Share of the true links that the probes reach, by brute force over unit vectors."""
     rng = np.random.default_rng(1)
-    index = Index.fit(vectors[np.sort(rng.choice(len(vectors), min(SAMPLE, len(vectors)), replace=False))], len(vectors))
+    index = Index.fit(vectors[np.sort(rng.choice(len(vectors), min(SAMPLE, len(vectors)), replace=False))], len(vectors), cosine=cosine)
     probes = index.probes(vectors)
     hit = total = 0
     for i in range(len(vectors)):

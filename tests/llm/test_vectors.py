@@ -75,3 +75,12 @@ def test_recall(spark):
     y = x[:1000] + 0.02 * rng.normal(size=(1000, x.shape[1]))
     x = np.concatenate([x, y / np.linalg.norm(y, axis=1, keepdims=True)])
     assert vectors.recall(x) >= 0.9
+
+
+def test_many_lists_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_SIZE", 4)
+    rows = sample(7, 40, 12, 12)
+    x = np.stack([vectors.usable(v) for _, v in rows])
+    assert len(vectors.Index.fit(x, len(x)).coarse) > 100
+    assert vectors.recall(x) == 1.0
+    check(spark, rows)
