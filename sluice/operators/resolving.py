@@ -16,6 +16,7 @@ from sluice.functions import fuzzy
 
 # How many candidates a way of finding them may give, and strong signals.
 PER_KEY = {"job_id": 25, "url": 25, "thread": 1, "sender": 25, "company": 50, "prefix": 25}
+NO_SOURCE = ["other", "company_portal", "unknown", "direct"]
 STRONG = ["same_gmail_thread", "same_external_job_id", "same_canonical_job_url"]
 
 
@@ -144,13 +145,26 @@ def resolve(messages: DataFrame, applications: DataFrame, links: DataFrame, thre
 
 
 def verified(messages: DataFrame, applications: DataFrame, linked: DataFrame) -> DataFrame:
-    """Named checks of each link and whether all hold; only target_exists where the
-    application is gone."""
+    """Nine named checks of each link and whether all hold; only target_exists fails where
+    the application is gone. applications has inactive and merged ones too, with
+    record_state, merged_into and the source of their portal."""
     m, a = messages.alias("m"), applications.alias("a")
     j = linked.filter("application_id IS NOT NULL").select("evidence_id", "application_id").join(m, "evidence_id").join(a, F.col("application_id") == F.col("a.id"), "left")
+    j = j.withColumns({"c": fuzzy.company_relation(F.col("m.company"), F.col("a.company")), "r": fuzzy.role_relation(F.col("m.role"), F.col("a.role"))})
     there = F.col("a.id").isNotNull()
-    no_conflict = lambda x, y: ~there | F.coalesce(F.col(x) == F.col(y), F.lit(True))
-    checks = {"target_exists": there, "same_or_unknown_url": no_conflict("m.url", "a.url"), "same_or_unknown_job_id": no_conflict("m.job_id", "a.job_id"), "dates_fit": ~there | F.datediff("m.occurred_at", "a.applied_date").between(-DATE_WINDOW_DAYS[0], DATE_WINDOW_DAYS[1])}
-    flags = [F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()]
-    out = j.select("evidence_id", "application_id", *flags)
-    return out.withColumn("all_hold", F.expr(" AND ".join(checks)))
+    conflict = lambda x, y: (F.col(x) != "") & (F.col(y) != "") & (F.col(x) != F.col(y))
+    named = lambda x: ~F.col(x).isin(NO_SOURCE)
+    seconds = F.timestamp_diff("SECOND", F.col("a.applied_date"), F.col("m.occurred_at"))
+    failures = {
+        "target_active": F.coalesce(F.col("a.record_state") != "active", F.lit(True)),
+        "target_not_merged": F.col("a.merged_into").isNotNull(),
+        "same_or_unknown_url": conflict("m.url", "a.url"),
+        "same_or_unknown_job_id": conflict("m.job_id", "a.job_id"),
+        "company_compatible": F.col("c") == "conflict",
+        "role_compatible": F.col("r") == "conflict",
+        "dates_fit": ~F.coalesce(seconds.between(-DATE_WINDOW_DAYS[0] * 86400, DATE_WINDOW_DAYS[1] * 86400), F.lit(False)),
+        "source_compatible": named("m.source") & named("a.source") & conflict("m.source", "a.source"),
+    }
+    flags = [~(there & F.coalesce(bad, F.lit(False))) for bad in failures.values()]
+    out = j.select("evidence_id", "application_id", there.alias("target_exists"), *[f.alias(n) for f, n in zip(flags, failures)])
+    return out.withColumn("all_hold", F.expr(" AND ".join(["target_exists", *failures])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice import views as V
+from sluice.functions import text as T
 from sluice.operators import duplicates as D
 from sluice.operators import listing as L
 from sluice.operators import resolving as R
@@ -63,4 +64,6 @@ def resolution_reasons(spark, sf):
 @query()
 def verified_links(spark, sf):
     messages, apps = _messages(spark, sf), _applications(spark, sf)
-    return R.verified(messages, apps, R.resolve(messages, apps, _links(spark, sf)))
+    every = V.applications(spark, sf)
+    targets = D.identity(every, ascii_only=True, active_only=False).drop("source").join(every.select("id", "record_state", "merged_into", T.source_key(F.col("source_portal")).alias("source")), "id")
+    return R.verified(messages, targets, R.resolve(messages, apps, _links(spark, sf)))
