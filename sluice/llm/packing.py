@@ -4,15 +4,18 @@ The program has one variable per configuration (a multiset of lengths that fits
 the capacity) and one row per length of the histogram. Multiplicative weights
 solve it: dynamic programming over the capacity prices configurations against the
 weights of the lengths, every configuration within EPSILON of the best price gets
-a share, and covered lengths lose weight. The solution is rounded down; what
-remains is filled by subset sums, largest length first, each filling used as often
-as the remaining counts allow.
+a share, and covered lengths lose weight. The solution is rounded so that its total
+stays (each configuration gets its use rounded down, and one more whenever the parts
+cut off so far make up a whole), and the program is solved again for the lengths that
+the rounding left over, until no more than RESIDUE of all tokens are left (or it places
+less than PLACED of them). Only that residue is filled by subset sums, largest length
+first.
 
 Only the histogram (at most `capacity` rows) comes to the driver and only the plan
 (configurations and their counts, whose number doesn't depend on the number of
 documents) goes back. Pieces find their place by rank within their length; the
 rank is a row number within a (length, bucket) group plus the sizes of the buckets
-before it, so that a common length never meets in one task.
+before it, so that neither a common length nor a repeated row meets in one task.
 
 Null and empty texts are one `end` token. Repeated rows are packed each for
 itself. An empty table gives an empty result; further columns are ignored.
@@ -32,7 +35,11 @@ from pyspark.sql import functions as F
 from sluice.llm.common import written
 
 EPSILON = 0.003
-ROUNDS = 24
+STEP = 1.0
+ROUNDS = 20
+AGAIN = 8
+RESIDUE = 0.2
+PLACED = 0.1
 ROWS_A_BUCKET = 20_000
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
@@ -93,53 +100,64 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end: int, id
 
 def price(size: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack: the best value of each capacity and the item it ends
-    with (-1: leave a token free). Sizes ascend."""
+    with (-1: leave a token free; among equals the largest, as small ones fit later too).
+    Sizes ascend."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
     fits = np.searchsorted(size, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if k := fits[c]:
             gain = best[c - size[:k]] + value[:k]
-            i = int(gain.argmax())
+            i = k - 1 - int(gain[::-1].argmax())
             if gain[i] > best[c] + 1e-15:
                 best[c], last[c] = gain[i], i
     return best, last
 
 
-def trace(last: np.ndarray, size: np.ndarray, capacity: int) -> list[int]:
-    items = []
+def trace(best: np.ndarray, last: np.ndarray, size: np.ndarray, value: np.ndarray, need: np.ndarray, capacity: int, first: int) -> list[int]:
+    """The items of the best configuration that holds `first`, none more often than it is
+    needed: where the best item has run out, the best of those left stands in."""
+    items, used = [first], {first: 1}
+    capacity -= int(size[first])
     while capacity > 0:
-        if (i := last[capacity]) < 0:
+        if (i := int(last[capacity])) < 0:
             capacity -= 1
-        else:
-            items.append(int(i))
-            capacity -= int(size[i])
-    return items
+            continue
+        if used.get(i, 0) >= need[i]:
+            k = int(np.searchsorted(size, capacity, side="right"))
+            gain = best[capacity - size[:k]] + value[:k]
+            gain[[j for j, n in used.items() if j < k and n >= need[j]]] = -1.0
+            if not k or gain[i := k - 1 - int(gain[::-1].argmax())] < 0:
+                break
+        items.append(i)
+        used[i] = used.get(i, 0) + 1
+        capacity -= int(size[i])
+    return sorted(items)
 
 
-def solve(size: np.ndarray, need: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
+def solve(size: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Multiplicative weights on the covering program: configurations (item numbers,
-    ascending) and how often to use them."""
+    ascending) and how often to use them. Weights start at the share of a sequence that
+    a length takes, and lengths that are covered late gain on the others."""
     weight = size / capacity
     use: dict[tuple[int, ...], float] = {}
     covered = np.zeros(len(size))
-    for step in range(1, ROUNDS + 1):
+    for step in range(1, rounds + 1):
         best, last = price(size, weight, capacity)
         chosen = np.flatnonzero(weight + best[capacity - size] >= (1 - EPSILON) * best[capacity])
         share = np.zeros(len(size))
-        found = []
-        for i in chosen:
-            items = sorted([int(i), *trace(last, size, capacity - int(size[i]))])
-            kinds, times = np.unique(items, return_counts=True)
-            if (times <= need[kinds]).all():
-                found.append((tuple(items), kinds, times))
-                share[kinds] += times
-        for items, kinds, times in found:
-            much = float((need[kinds] / np.maximum(share[kinds], times)).min())
+        found = {}
+        for i in chosen.tolist():
+            items = tuple(trace(best, last, size, weight, need, capacity, i))
+            if items not in found:
+                found[items] = np.unique(items, return_counts=True)
+                share[found[items][0]] += found[items][1]
+        for items, (kinds, times) in found.items():
+            much = float((need[kinds] / share[kinds]).min())
             use[items] = use.get(items, 0.0) + much
             covered[kinds] += much * times
         level = covered / need
-        weight = size / capacity * np.exp(-(level - level.min()) / max(1.0, level.max()) * 0.02 * np.sqrt(step))
+        weight = size / capacity * np.exp(-(level - level.min()) / max(1.0, level.max()) * STEP * np.sqrt(step))
     total = (size * need).sum() / max(1e-9, sum(use[k] * size[list(k)].sum() for k in use)) if use else 1.0
     return {k: v * total for k, v in use.items()}
 
@@ -170,11 +188,10 @@ def fill(size: np.ndarray, left: np.ndarray, capacity: int) -> tuple[int, ...]:
     return tuple(sorted(items))
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[list[int], int]], int]:
     """Configurations (lengths) and how many sequences have each: every length is
-    used exactly as often as the histogram says."""
-    if not histogram:
-        return []
+    used exactly as often as the histogram says. And how many of them, from the first,
+    the program gave; the rest is its residue."""
     size = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[int(s)] for s in size], np.int64)
     done: list[tuple[tuple[int, ...], int]] = []
@@ -185,14 +202,27 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
             left[kinds] -= times * each
             done.append((items, times))
 
-    for items, much in sorted(solve(size, left.astype(float), capacity).items(), key=lambda x: (-int(size[list(x[0])].sum()), -x[1])):
-        if int(size[list(items)].sum()) == capacity:
-            take(items, int(much))
+    total = held = int((size * left).sum())
+    while held > RESIDUE * total:
+        live = np.flatnonzero(left)
+        carry = 0.0
+        found = solve(size[live], left[live].astype(float), capacity, AGAIN if done else ROUNDS)
+        for items, much in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+            items = tuple(live[list(items)].tolist())
+            if int(size[list(items)].sum()) < capacity:
+                continue
+            carry += much
+            take(items, int(carry))
+            carry -= int(carry)
+        before, held = held, int((size * left).sum())
+        if before - held < PLACED * before:
+            break
+    program = len(done)
     while left.any():
         items = fill(size, left, capacity)
         kinds, each = np.unique(items, return_counts=True)
         take(items, max(1, int((left[kinds] // each).min() // 2)))
-    return [(size[list(items)].tolist(), times) for items, times in done]
+    return [(size[list(items)].tolist(), times) for items, times in done], program
 
 
 def places(planned: list[tuple[list[int], int]]) -> np.ndarray:
@@ -212,15 +242,16 @@ def places(planned: list[tuple[list[int], int]]) -> np.ndarray:
 def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, with
     full, ids. path: the vocabulary as ranks; pattern: its split."""
-    cut_up = written(pieces(docs, path, pattern, capacity, end, id_col, text_col, full), "pieces")
+    cut_up = pieces(docs, path, pattern, capacity, end, id_col, text_col, full)
+    cut_up = written(cut_up.withColumn("_row", F.monotonically_increasing_id()), "pieces")  # sets equal rows apart
     buckets = max(8, cut_up.count() // ROWS_A_BUCKET)
-    cut_up = cut_up.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))
+    cut_up = cut_up.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "_row"), F.lit(buckets)))
     counts = written(cut_up.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    where = places(plan(histogram, capacity))
+    where = places(plan(histogram, capacity)[0])
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("length"), "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece", "ids_crc32")
+    within = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece", "_row")
     ranked = cut_up.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     columns = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * full
     sent = docs.sparkSession.sparkContext.broadcast(where)

@@ -17,7 +17,7 @@ LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=20))
 def test_plan_uses_every_length_and_fits(histogram):
     used = Counter()
-    for lengths, times in packing.plan(histogram, 64):
+    for lengths, times in packing.plan(histogram, 64)[0]:
         assert sum(lengths) <= 64
         for n in lengths:
             used[n] += times
@@ -28,7 +28,27 @@ def test_plan_near_lower_bound():
     rng = np.random.default_rng(3)
     histogram = Counter(np.minimum(2048, rng.lognormal(6.3, 1.0, 30_000).astype(int) + 1).tolist())
     total = sum(k * v for k, v in histogram.items())
-    assert sum(t for _, t in packing.plan(dict(histogram), 2048)) <= 1.002 * total / 2048 + 1
+    planned, program = packing.plan(dict(histogram), 2048)
+    assert sum(t for _, t in planned) <= 1.002 * total / 2048 + 1
+    assert sum(t for _, t in planned[:program]) > 0.7 * sum(t for _, t in planned)
+
+
+def test_the_program_packs_scarce_lengths():
+    """Lengths of which there are only a few: most uses are below one and must be rounded."""
+    rng = np.random.default_rng(4)
+    histogram = Counter(rng.integers(1, 2049, 2500).tolist())
+    planned, program = packing.plan(dict(histogram), 2048)
+    several = [(len(lengths) > 1, times) for lengths, times in planned]
+    assert sum(t for many, t in several[:program] if many) > 0.5 * sum(t for many, t in several if many)
+    # a first-fit packing of the same lengths, plainly
+    room: list[int] = []
+    for n in sorted(histogram.elements(), reverse=True):
+        at = next((i for i, r in enumerate(room) if r >= n), None)
+        if at is None:
+            room.append(2048 - n)
+        else:
+            room[at] -= n
+    assert sum(t for _, t in planned) <= 1.02 * len(room)
 
 
 def test_pieces_and_places(spark):
