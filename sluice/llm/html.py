@@ -8,11 +8,15 @@ Rules
   </br> a line break). html, head and body tags are never required. Script, style and
   the like are raw text up to their own end tag, textarea and title text with
   references. A plain "<" that begins no tag is text.
-- Hidden: the head and its elements, script, style, template, noscript, comments, media
-  and form controls without text, anything with a hidden attribute, aria-hidden="true",
-  or a style of display:none or visibility:hidden (or collapse), closed details but for
-  their summary, and input of any type. Everything else is visible: navigation, headers
-  and footers too.
+- Hidden: the head and its elements, script, style, template, noscript, comments, media,
+  input of any type, rp, datalist, annotations of formulas, anything with a hidden
+  attribute that its style doesn't overrule, display:none, closed dialogs, and closed
+  details but for their summary; on html and body too. Text under visibility:hidden (or
+  collapse) is hidden until an element within says visible. In drawings only text elements
+  and foreign objects show. A drop-down shows its chosen option, a list box all of them.
+  Everything else is visible, formulas, aria-hidden text, navigation and footers too.
+- A tag that the end of the page cuts off is no text, nor is what follows an open quote
+  in it.
 - Text: white space (not the no-break space, which becomes a blank at the end) collapses
   to one blank, also across inline tags, and goes at the edges of lines; pre and textarea
   keep theirs. br breaks the line, hr is a line of dashes. Blocks stand on lines of their
@@ -21,12 +25,15 @@ Rules
 - Lists: "- " or the number (start, value, reversed), nested lists two columns further
   in. dd is two columns further in. An image shows its alt text.
 - Tables: a line per line of cells, columns padded to the widest cell and set apart by
-  " | "; colspan and rowspan hold their places; captions come first. A table within a
-  cell is rendered within it.
+  " | "; colspan and rowspan hold their places (up to 1,000 columns and 65,534 rows, as
+  the standard has it); captions come first. A line wider than WIDE doesn't widen its
+  column, but pushes what follows it. A table within a cell is rendered within it; one
+  within NESTED tables puts its cells below each other.
 
 Null and empty pages give an empty text; other columns are ignored, repeated rows give
-equal results, and an empty table gives an empty result. Trees are walked with a stack
-of their own, and elements deeper than DEEP are flattened into their parents, text kept.
+equal results, and an empty table gives an empty result. Open elements have no bound, and
+all rules hold at any depth; the scan goes forward once, and elements are found by name,
+so that the time a page takes grows with its length.
 """
 
 from __future__ import annotations
@@ -35,18 +42,21 @@ import hashlib
 import html as entities
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-DEEP = 200
+NESTED = 32
+WIDE = 400
 GAP = " | "
 # What the HTML standard says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 TEXT_ONLY = frozenset("title textarea".split())
-HIDDEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas svg math datalist select input base link meta param source track area map dialog rp".split())
+HIDDEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas datalist input base link meta param source track area annotation annotation-xml rp".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section summary table ul".split())
 BLOCKS = PARAGRAPH_ENDS | frozenset("html body li dd dt caption tr td th thead tbody tfoot legend optgroup option".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table pre blockquote figure hr address fieldset".split())
@@ -73,12 +83,22 @@ IMPLIED = {
 #: Elements that an end tag within a cell or a table's part doesn't reach beyond.
 FENCES = frozenset("table td th caption html body object template".split())
 
-TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*>?|/?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|/[^a-zA-Z][^>]*>)", re.DOTALL)
-NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Elements of which only the table's own end tags get out.
+WITHIN = frozenset(["table", "tr", "td", "th", "caption"]) | SECTIONS
+NONE: frozenset[str] = frozenset()
+P, A = frozenset(["p"]), frozenset(["a"])
+#: Inline boxes that stand apart from the text around them.
+BOXES = frozenset("button select textarea".split())
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?)")
+COMMENT_END = re.compile(r"--!?>")
+ZEROS = re.compile(r"&#([xX]?)0{3,}")
+TOO_LARGE = re.compile(r"&#(?:[1-9]\d{7,}|0[1-9]\d{7,}|[xX]0?[1-9a-fA-F][0-9a-fA-F]{6,});?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
-NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
+DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)", re.IGNORECASE)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z]+)", re.IGNORECASE)
+NUMBER = re.compile(r"\s*([+-]?)0*(\d+)")
 
 
 class Element:
@@ -89,101 +109,186 @@ class Element:
 
     def number(self, key: str, default: int, least: int = 1, most: int = 1000) -> int:
         found = NUMBER.match(self.attributes.get(key, ""))
-        return min(most, max(least, int(found[1]))) if found else default
+        if not found:
+            return default
+        n = int(found[2]) if len(found[2]) < 19 else 10**18
+        return min(most, max(least, -n if found[1] == "-" else n))
 
 
-def attributes(tag: str, at: int) -> dict[str, str]:
+def plain(piece: str) -> str:
+    """Text with its references resolved; numbers beyond the last character are unknown."""
+    if "&" in piece:
+        piece = entities.unescape(TOO_LARGE.sub("\ufffd", ZEROS.sub(r"&#\g<1>0", piece)))
+    return piece.replace("\0", "")
+
+
+@lru_cache(maxsize=64)
+def end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE)
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """The attributes from there on, where the tag ends (-1: it doesn't) and whether it
+    closes itself."""
     out: dict[str, str] = {}
-    for key, value in ATTRIBUTE.findall(tag, at, len(tag) - 1):
-        out.setdefault(key.lower(), entities.unescape(value[1:-1] if value[:1] in "\"'" and value else value))
-    return out
+    while found := ATTRIBUTE.match(page, at):
+        at = found.end()
+        if found[1]:
+            return out, at, page[at - 2] == "/"
+        value = found[3] if found[3] is not None else found[4] if found[4] is not None else found[5] or ""
+        out.setdefault(found[2].lower(), plain(value))
+    return out, -1, False
+
+
+class Open:
+    """The open elements, and where those of each name are."""
 
+    def __init__(self, root: Element):
+        self.elements = [root]
+        self.places: dict[str, list[int]] = {}
 
-def build(page: str) -> Element:
-    """The tree of a page."""
+    def push(self, new: Element) -> None:
+        self.places.setdefault(new.name, []).append(len(self.elements))
+        self.elements.append(new)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at that place and all within it."""
+        while len(self.elements) > at:
+            self.places[self.elements.pop().name].pop()
+
+    def last(self, names: frozenset[str]) -> int:
+        """The place of the innermost element of these names; 0: there is none."""
+        places = self.places
+        return max([found[-1] for n in names if (found := places.get(n))], default=0)
+
+
+def build(page: str) -> tuple[Element, list[dict[str, str]]]:
+    """The tree of a page, and the attributes of its html and body."""
     root = Element("html", {})
-    open_ = [root]
-    at = 0
+    outer: list[dict[str, str]] = [{}, {}]
+    open_ = Open(root)
+    elements = open_.elements
 
     def text(piece: str) -> None:
         if piece:
-            open_[-1].children.append(entities.unescape(piece).replace("\0", ""))
+            elements[-1].children.append(plain(piece))
 
     def close_to(names: frozenset[str], fence: frozenset[str]) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].name in fence:
-                break
-            if open_[i].name in names:
-                lowest = i
-                while lowest - 1 > 0 and open_[lowest - 1].name in names:
-                    lowest -= 1
-                del open_[lowest:]
-                break
+        at = open_.last(names)
+        if at and at > open_.last(fence - names):
+            while at > 1 and elements[at - 1].name in names:
+                at -= 1
+            open_.cut(at)
 
     def start(name: str, own: dict[str, str], shut: bool) -> None:
         if name in ("html", "body"):
-            if name == "body" and len(open_) > 1 and open_[1].name == "head":
-                del open_[1:]
-            root.attributes.update(own) if name == "html" else None
+            if name == "body" and len(elements) > 1 and elements[1].name == "head":
+                open_.cut(1)
+            for key, value in own.items():
+                outer[name == "body"].setdefault(key, value)
             return
-        if len(open_) > 1 and open_[-1].name == "head" and name not in HIDDEN:
-            open_.pop()
+        if len(elements) > 1 and elements[-1].name == "head" and name not in HIDDEN:
+            open_.cut(len(elements) - 1)
         if name in PARAGRAPH_ENDS:
-            close_to(frozenset(["p"]), FENCES)
-        if name in HEADINGS and open_[-1].name in HEADINGS:
-            open_.pop()
+            close_to(P, FENCES)
+        if name in HEADINGS and elements[-1].name in HEADINGS:
+            open_.cut(len(elements) - 1)
         if name in IMPLIED:
             close_to(*IMPLIED[name])
         if name == "a":
-            close_to(frozenset(["a"]), FENCES)
+            close_to(A, FENCES)
         new = Element(name, own)
-        open_[-1].children.append(new)
-        if name not in VOID and not shut and len(open_) < DEEP:
-            open_.append(new)
+        elements[-1].children.append(new)
+        if name not in VOID and not shut:
+            open_.push(new)
 
     def end(name: str) -> None:
         if name == "br":
             start("br", {}, True)
             return
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].name == name or (name in HEADINGS and open_[i].name in HEADINGS):
-                del open_[i:]
-                return
-            if open_[i].name in FENCES and name not in ("table", "tr", "td", "th", "caption", *SECTIONS):
-                break
-        if name == "p":
-            open_[-1].children.append(Element("p", {}))
-
-    for found in iter(lambda: TAG.search(page, at), None):
-        text(page[at : found.start()])
-        tag, at = found[0], found.end()
-        named = NAME.match(tag)
+        at = open_.last(HEADINGS if name in HEADINGS else frozenset([name]))
+        if at and at >= open_.last(NONE if name in WITHIN else FENCES):
+            open_.cut(at)
+        elif name == "p":
+            elements[-1].children.append(Element("p", {}))
+
+    at = 0
+    while (tag := page.find("<", at)) >= 0:
+        second = page[tag + 1 : tag + 2]
+        closing = second == "/"
+        named = NAME.match(page, tag + 1 + closing)
         if named is None:
+            if second not in ("!", "?") and not (closing and tag + 2 < len(page)):
+                text(page[at : tag + 1])
+                at = tag + 1
+                continue
+            text(page[at:tag])
+            if page.startswith("<!--", tag):
+                quick = next((n for n in (">", "->") if page.startswith(n, tag + 4)), None)
+                found = None if quick else COMMENT_END.search(page, tag + 4)
+                at = tag + 4 + len(quick) if quick else found.end() if found else len(page)
+            else:
+                at = page.find(">", tag) + 1 or len(page)
             continue
-        name = named[1].lower()
-        if tag[1] == "/":
+        text(page[at:tag])
+        name = named[0].lower()
+        own, at, shut = attributes(page, named.end())
+        if at < 0:
+            at = len(page)
+            break
+        if closing:
             end(name)
             continue
-        shut = tag.endswith("/>") and name in ("svg", "math", "path")
-        start(name, attributes(tag, named.end()), shut)
+        foreign = name in ("svg", "math") or open_.last(frozenset(["svg", "math"])) > open_.last(frozenset(["foreignobject"]))
+        start(name, own, shut and foreign)
         if name in RAW or name in TEXT_ONLY:
-            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            stop = end_of(name).search(page, at)
             inside = page[at : stop.start()] if stop else page[at:]
             at = stop.start() if stop else len(page)
             if name in TEXT_ONLY:
                 text(inside)
-            if not stop and open_[-1].name == name:
-                open_.pop()
+            if not stop and elements[-1].name == name:
+                open_.cut(len(elements) - 1)
         elif name == "plaintext":
-            open_[-1].children.append(page[at:])
+            elements[-1].children.append(page[at:])
             at = len(page)
     text(page[at:])
-    return root
+    return root, outer
+
+
+def displayed(name: str, own: dict[str, str]) -> bool:
+    """Whether an element has a box at all."""
+    if name in HIDDEN or (name == "dialog" and "open" not in own):
+        return False
+    said = DISPLAY.search(own["style"]) if "style" in own else None
+    return said[1].lower() != "none" if said else "hidden" not in own
+
 
+def shown(element: Element) -> bool:
+    return displayed(element.name, element.attributes)
 
-def visible(element: Element) -> bool:
-    own = element.attributes
-    return element.name not in HIDDEN and "hidden" not in own and own.get("aria-hidden", "").lower() != "true" and not ("style" in own and UNSEEN.search(own["style"]))
+
+def seen_in(name: str, own: dict[str, str], before: bool) -> bool:
+    """Whether text of an element is seen, given that of its parent is or not."""
+    if name == "svg":
+        return False
+    if name in ("text", "foreignobject"):
+        return True
+    said = VISIBILITY.search(own["style"]) if "style" in own else None
+    return {"visible": True, "hidden": False, "collapse": False}.get(said[1].lower(), before) if said else before
+
+
+def chosen(select: Element) -> list[Element]:
+    """The options that a select shows."""
+    options: list[Element] = []
+    for child in select.children:
+        if isinstance(child, Element):
+            inside = child.children if child.name == "optgroup" else [child]
+            options += [o for o in inside if isinstance(o, Element) and o.name == "option" and shown(o)]
+    if "multiple" in select.attributes or select.number("size", 1) > 1:
+        return options
+    marked = [o for o in options if "selected" in o.attributes][-1:]
+    return marked or [o for o in options if "disabled" not in o.attributes][:1] or options[:1]
 
 
 def width(line: str) -> int:
@@ -259,7 +364,7 @@ class Page:
 
 def counters(element: Element) -> dict[int, str]:
     """The marker of each item of a list, by its place among the children."""
-    items = [(i, c) for i, c in enumerate(element.children) if isinstance(c, Element) and c.name == "li" and visible(c)]
+    items = [(i, c) for i, c in enumerate(element.children) if isinstance(c, Element) and c.name == "li" and shown(c)]
     if element.name != "ol":
         return dict.fromkeys((i for i, _ in items), "- ")
     back = "reversed" in element.attributes
@@ -272,97 +377,115 @@ def counters(element: Element) -> dict[int, str]:
     return out
 
 
-def render(element: Element) -> list[str]:
-    """Lines of an element's inside. The walk keeps a stack; only tables recur, which
-    DEEP bounds."""
+def render(element: Element, seen: bool = True, level: int = 0) -> list[str]:
+    """Lines of an element's inside. The walk keeps a stack; only tables recur, NESTED
+    deep at most."""
     page = Page()
-    todo: list[tuple] = [("in", element, False)]
+    todo: list[tuple] = [("in", element, False, seen)]
     while todo:
-        what, node, pre = todo.pop()
+        what, node, pre, seen = todo.pop()
         if what == "in":
             marks = counters(node) if node.name in LISTS else {}
-            shut = node.name == "details" and "open" not in node.attributes
-            for i in range(len(node.children) - 1, -1, -1):
-                child = node.children[i]
-                if not shut or (isinstance(child, Element) and child.name == "summary"):
-                    todo.append(("see", (child, marks.get(i, "- ")), pre))
+            inside = list(enumerate(node.children))
+            if node.name == "details" and "open" not in node.attributes:
+                inside = [(i, c) for i, c in inside if isinstance(c, Element) and c.name == "summary"][:1]
+            elif node.name == "select":
+                inside = [(-1, o) for o in chosen(node)]
+            for i, child in reversed(inside):
+                todo.append(("see", (child, marks.get(i, "- ")), pre, seen))
         elif what == "out":
             name, indent = node
             page.flush()
             page.indent = indent
             page.gap |= name in SPACED
+        elif what == "apart":
+            page.blank = True
         else:
             child, mark = node
             if isinstance(child, str):
-                page.kept(child) if pre else page.word(child)
+                if seen:
+                    page.kept(child) if pre else page.word(child)
                 continue
-            if not visible(child):
+            if not shown(child):
                 continue
             name = child.name
+            seen = seen_in(name, child.attributes, seen)
             if name == "br":
                 page.flush(True)
             elif name == "wbr":
                 pass
             elif name == "img":
-                page.word(child.attributes.get("alt", ""))
-            elif name in ("table", "hr"):
+                page.word(child.attributes.get("alt", "") if seen else "")
+            elif name == "hr" or (name == "table" and level < NESTED):
                 page.flush()
                 page.gap = True
-                for line in table_lines(child) if name == "table" else ["---"]:
+                for line in table_lines(child, seen, level + 1) if name == "table" else ["---"]:
                     page.raw(line)
                 page.gap = True
             elif name in BLOCKS:
                 page.flush()
                 page.gap |= name in SPACED and not (name in LISTS and page.indent)
-                todo.append(("out", (name if not (name in LISTS and page.indent) else "", page.indent), pre))
+                todo.append(("out", (name if not (name in LISTS and page.indent) else "", page.indent), pre, seen))
                 if name == "li":
-                    page.marker = mark
+                    page.marker = mark if seen else ""
                     page.indent += len(mark)
                 elif name in ("dd", "blockquote"):
                     page.indent += 2
-                todo.append(("in", child, pre or name == "pre"))
+                todo.append(("in", child, pre or name == "pre", seen))
                 if name == "pre" and child.children and isinstance(child.children[0], str):
                     child.children[0] = child.children[0].removeprefix("\r").removeprefix("\n")
             else:
                 if name == "q":
                     child.children = ['"', *child.children, '"']
-                todo.append(("in", child, pre or name == "textarea"))
+                if name in BOXES:
+                    page.blank = True
+                    todo.append(("apart", None, pre, seen))
+                todo.append(("in", child, pre or name == "textarea", seen))
     page.flush()
     return page.text()
 
 
-def table_lines(table: Element) -> list[str]:
+def widest(lines: list[str]) -> int:
+    """Columns of the widest line that isn't over WIDE."""
+    return max((w for w in map(width, lines) if w <= WIDE), default=0)
+
+
+def table_lines(table: Element, seen: bool, level: int) -> list[str]:
     """A table as lines: cells aligned by column."""
     out: list[str] = []
-    rows: list[Element] = []
-    head: list[Element] = []
-    foot: list[Element] = []
+    rows: list[tuple[Element, bool]] = []
+    head: list[tuple[Element, bool]] = []
+    foot: list[tuple[Element, bool]] = []
     loose = Element("div", {})
     for child in table.children:
         if isinstance(child, str):
             if child.strip():
                 loose.children.append(child)
-        elif child.name == "caption" and visible(child):
-            out += render(child)
+        elif child.name == "caption":
+            out += render(child, seen_in("caption", child.attributes, seen), level) if shown(child) else []
         elif child.name == "tr":
-            rows.append(child)
-        elif child.name in SECTIONS and visible(child):
+            rows.append((child, seen))
+        elif child.name in SECTIONS:
+            if not shown(child):
+                continue
+            inner = seen_in(child.name, child.attributes, seen)
             part = {"thead": head, "tfoot": foot}.get(child.name, rows)
             for c in child.children:
                 if isinstance(c, Element) and c.name == "tr":
-                    part.append(c)
+                    part.append((c, inner))
                 elif isinstance(c, Element) or c.strip():
                     loose.children.append(c)
         elif child.name != "colgroup":
             loose.children.append(child)
     if loose.children:
-        out += render(loose)
+        out += render(loose, seen, level)
     grid: list[dict[int, list[str]]] = []
     spans: list[tuple[int, int, int, list[str]]] = []  # row, column, columns, lines
     taken: dict[int, int] = {}  # column: rows that a cell above still holds
-    for tr in [*head, *rows, *foot]:
-        if not visible(tr):
+    for tr, above in [*head, *rows, *foot]:
+        if not shown(tr):
             continue
+        across = seen_in("tr", tr.attributes, above)
         row: dict[int, list[str]] = {}
         column, now = 0, {c: n for c, n in taken.items() if n > 0}
         taken = {c: n - 1 for c, n in now.items()}
@@ -374,8 +497,8 @@ def table_lines(table: Element) -> list[str]:
                 continue
             while now.get(column, 0) > 0:
                 column += 1
-            wide, tall = cell.number("colspan", 1), cell.number("rowspan", 1)
-            lines = render(cell) if visible(cell) else []
+            wide, tall = cell.number("colspan", 1), cell.number("rowspan", 1, 0, 65534) or 65534
+            lines = render(cell, seen_in(cell.name, cell.attributes, across), level) if shown(cell) else []
             if wide == 1:
                 row[column] = lines
             else:
@@ -385,18 +508,18 @@ def table_lines(table: Element) -> list[str]:
                     taken[c] = tall - 1
             column += wide
         if stray.children:
-            out += render(stray)
+            out += render(stray, across, level)
         grid.append(row)
     columns = max([c + 1 for row in grid for c in row] + [c + w for _, c, w, _ in spans] + [0])
     size = [0] * columns
     for row in grid:
         for c, lines in row.items():
-            size[c] = max([size[c], *map(width, lines)])
+            size[c] = max(size[c], widest(lines))
     used = sorted({c for row in grid for c, lines in row.items() if lines} | {c for _, c, _, lines in spans if lines})
     for _, c, w, lines in spans:
-        inside = [k for k in used if c <= k < c + w]
+        inside = used[bisect_left(used, c) : bisect_left(used, c + w)]
         room = sum(size[k] for k in inside) + len(GAP) * (len(inside) - 1)
-        if inside and (need := max(map(width, lines), default=0)) > room:
+        if inside and (need := widest(lines)) > room:
             size[inside[-1]] += need - room
     by_row: dict[int, dict[int, tuple[int, list[str]]]] = {}
     for r, c, w, lines in spans:
@@ -409,7 +532,7 @@ def table_lines(table: Element) -> list[str]:
             while c < len(used):
                 column = used[c]
                 w, lines = cells.get(column, (1, []))
-                inside = [x for x in used[c:] if x < column + w]
+                inside = used[c : bisect_left(used, column + w)]
                 room = sum(size[x] for x in inside) + len(GAP) * (len(inside) - 1)
                 piece = lines[k] if k < len(lines) else ""
                 parts.append(piece + " " * (room - width(piece)))
@@ -421,7 +544,15 @@ def table_lines(table: Element) -> list[str]:
 
 
 def extract(page: str | None) -> str:
-    return "\n".join(render(build(page))) if page else ""
+    if not page:
+        return ""
+    root, outer = build(page)
+    seen = True
+    for name, own in zip(("html", "body"), outer, strict=True):
+        if not displayed(name, own):
+            return ""
+        seen = seen_in(name, own, seen)
+    return "\n".join(render(root, seen))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", full: bool = True) -> DataFrame:
