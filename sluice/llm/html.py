@@ -15,6 +15,8 @@ Rules
   collapse) is hidden until an element within says visible. In drawings only text elements
   and foreign objects show. A drop-down shows its chosen option, a list box all of them.
   Everything else is visible, formulas, aria-hidden text, navigation and footers too.
+- For reading (everything=False) the choices of drop-downs and what is marked aria-hidden
+  are left out as well; pages are extracted with everything that can be seen.
 - A tag that the end of the page cuts off is no text, nor is what follows an open quote
   in it.
 - Text: white space (not the no-break space, which becomes a blank at the end) collapses
@@ -162,7 +164,7 @@ class Open:
         return max([found[-1] for n in names if (found := places.get(n))], default=0)
 
 
-def build(page: str) -> tuple[Element, list[dict[str, str]]]:
+def build(page: str, everything: bool = False) -> tuple[Element, list[dict[str, str]]]:
     """The tree of a page, and the attributes of its html and body."""
     root = Element("html", {})
     outer: list[dict[str, str]] = [{}, {}]
@@ -197,6 +199,8 @@ def build(page: str) -> tuple[Element, list[dict[str, str]]]:
             close_to(*IMPLIED[name])
         if name == "a":
             close_to(A, FENCES)
+        if not everything and (name == "select" or own.get("aria-hidden", "").lower() == "true"):
+            own = {"hidden": ""}
         new = Element(name, own)
         elements[-1].children.append(new)
         if name not in VOID and not shut:
@@ -543,10 +547,10 @@ def table_lines(table: Element, seen: bool, level: int) -> list[str]:
     return out
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, everything: bool = False) -> str:
     if not page:
         return ""
-    root, outer = build(page)
+    root, outer = build(page, everything)
     seen = True
     for name, own in zip(("html", "body"), outer, strict=True):
         if not displayed(name, own):
@@ -555,13 +559,13 @@ def extract(page: str | None) -> str:
     return "\n".join(render(root, seen))
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", full: bool = True) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", full: bool = True, everything: bool = True) -> DataFrame:
     """Per page: id, text, n_chars, n_lines, text_sha256. Map-only: no shuffle."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h) for h in batch.column(1).to_pylist()]
+            texts = [extract(h, everything) for h in batch.column(1).to_pylist()]
             out = {id_col: batch.column(0)} | ({"text": pa.array(texts, pa.string())} if full else {})
             out |= {
                 "n_chars": pa.array([len(t) for t in texts], pa.int64()),

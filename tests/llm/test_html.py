@@ -1,4 +1,5 @@
 import hashlib
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -47,6 +48,38 @@ def test_deep_and_long():
     assert html.extract("<p>word " * 20_000).count("word") == 20_000
 
 
+EVERYTHING = [
+    ("<p aria-hidden=true>seen</p>yes", "seen\n\nyes"),
+    ("<select><option>a<option selected>b</select>", "b"),
+    ("<select multiple><option>a<option>b</select>", "a\nb"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"),
+    ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("<svg><title>no</title><text>label</text></svg>", "label"),
+    ("<body hidden><p>no", ""),
+    ("<html hidden><p>no", ""),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"),
+    ("<button>Go</button><textarea>t</textarea>", "Go t"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), EVERYTHING)
+def test_all_that_is_visible(page, text):
+    assert html.extract(page, everything=True) == text
+
+
+@pytest.mark.parametrize("depth", [10, 1000])
+def test_rules_hold_at_any_depth(depth):
+    page = "<div>" * depth + "<div hidden>SECRET</div><template>TPL</template><ul><li>a<li>b</ul>"
+    assert html.extract(page, everything=True) == "- a\n- b"
+
+
+@pytest.mark.parametrize("bad", ["<b ", '<a x="', "<", "</", "<!--", "<p", "&#", "<a x=", "<b><i>"])
+def test_a_megabyte_of_unclosed_tags_takes_no_time(bad):
+    start = time.perf_counter()
+    html.extract(bad * (1_000_000 // len(bad)), everything=True)
+    assert time.perf_counter() - start < 20
+
+
 class Plain(HTMLParser):
     """Words outside hidden elements, by the standard library."""
 
