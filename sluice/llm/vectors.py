@@ -1,20 +1,27 @@
 """Near-duplicate embeddings by product quantisation.
 
-A coarse quantiser cuts the unit sphere into inverted lists; what a vector differs from
-its list's centre by is coded by the nearest of CODES centres in each of SUBSPACES
-subspaces. Every vector is also a query: it probes every list that may hold a vector
-within reach (one whose bisecting plane with the query's own list is no further away than
-the reach: what lies in that list lies behind the plane) and has no smaller number, reads its distance to every code there from lookup tables (asymmetric: the query isn't coded) and
-discards what is further than the reach plus the coded vector's own quantisation error.
-By the triangle inequality that loses nothing, and neither do the probes, at any size.
-A link between two lists is found from the
-list of the smaller number.
-Survivors are compared by exact cosine in double precision.
+A coarse quantiser cuts the unit sphere into inverted lists (pairs of centres, one for each
+half of the components, so that the lists grow with the rows and the centres with the root
+of it); what a vector differs from its list's centre by is coded by the nearest of CODES
+centres in each of SUBSPACES subspaces. Every vector is also a query: it probes its own list
+and those of greater numbers whose bisecting planes with its own are within the margin,
+reads its distance to every code there from lookup tables (asymmetric: the query isn't
+coded) and discards what is further than the reach plus the coded vector's own quantisation
+error, which by the triangle inequality loses nothing. A link between two lists is found
+from the list of the smaller number. Survivors are compared by exact cosine in double
+precision.
+
+The margin doesn't depend on how many lists there are. Two linked vectors in two lists lie
+on both sides of the lists' plane, so what they differ by, at most the reach, crosses it;
+along one direction that is the reach times the root of that direction's share of all
+differences, taken for the direction with the greatest share. SPREAD such deviations are
+the margin, at most the whole reach; with spread=None it is the reach itself, by which
+the probes lose no link whatever the vectors are.
 
 Centres are fitted on a bounded sample (SAMPLE vectors, by a hash of their bytes); every
-vector is indexed. Equal vectors are one class. Lists and queries are dealt in chunks
-of CHUNK, and every pair of chunks is a unit of its own, so a large group of copies
-never meets in one task; a task returns a count per vector and a forest of its links.
+vector is indexed. Equal vectors are one class. Lists are dealt in chunks of CHUNK members
+and ASKED queries, and every pair of chunks is a unit of its own, so a large group of
+copies never meets in one task; a task returns a count per vector and a forest of its links.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing;
 vectors of different lengths don't link. Rows with null or repeated ids count each for
@@ -40,10 +47,11 @@ from sluice.llm.components import Forest, components
 COSINE = 0.95
 SAMPLE = 8192
 LIST_SIZE = 160
-MOST_LISTS = 1024
+SPREAD = 2.0
 SUBSPACES = 8
 CODES = 64
 CHUNK = 256
+ASKED = 8192
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -65,24 +73,61 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+class Coarse:
+    """Centres of lists: each half of the components has its own centres, and a list is a
+    pair of them, so that few centres make many lists."""
+
+    def __init__(self, sides: list[slice], centres: list[np.ndarray]):
+        self.sides, self.centres = sides, centres
+
+    def __len__(self) -> int:
+        return int(np.prod([len(c) for c in self.centres]))
+
+    def __getitem__(self, at) -> np.ndarray:
+        out = []
+        for c in reversed(self.centres):
+            out.append(c[at % len(c)])
+            at = at // len(c)
+        return np.concatenate(out[::-1], axis=-1)
+
+    def number(self, parts: list[np.ndarray]) -> np.ndarray:
+        at = np.zeros_like(parts[0])
+        for c, part in zip(self.centres, parts, strict=True):
+            at = at * len(c) + part
+        return at
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return self.number([nearest(x[:, s], c) for s, c in zip(self.sides, self.centres, strict=True)])
+
+
 @dataclass
 class Index:
-    """Coarse centres and a codebook per subspace, for unit vectors of one length."""
+    """Coarse centres and a codebook per subspace, for unit vectors of one length. A list
+    is probed where the bisecting planes with the query's own list, in both halves, are no
+    further away than the margin."""
 
-    coarse: np.ndarray
+    coarse: Coarse
     books: list[np.ndarray]
     parts: list[slice]
-    reach: float
+    margin: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, seed: int = 5, cosine: float = COSINE) -> Index:
+    def fit(cls, sample: np.ndarray, rows: int, seed: int = 5, cosine: float = COSINE, spread: float | None = SPREAD) -> Index:
         rng = np.random.default_rng(seed)
-        lists = int(min(MOST_LISTS, max(1, rows // LIST_SIZE), max(1, len(sample) // 4)))
-        coarse = kmeans(sample, lists, rng)
-        rest = sample - coarse[nearest(sample, coarse)]
-        edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
+        dim = sample.shape[1]
+        sides = [slice(0, dim // 2), slice(dim // 2, dim)] if dim > 1 else [slice(0, 1)]
+        lists = max(1, rows // LIST_SIZE)
+        each = int(min(np.ceil(lists ** (1 / len(sides))), max(1, len(sample) // 4)))
+        coarse = Coarse(sides, [kmeans(sample[:, s], each, rng) for s in sides])
+        rest = sample - coarse[coarse.home(sample)]
+        edges = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
         parts = [slice(a, b) for a, b in zip(edges, edges[1:])]
-        return cls(coarse, [kmeans(rest[:, p], CODES, rng) for p in parts], parts, float(np.sqrt(max(0.0, 2 - 2 * cosine))))
+        reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+        if spread is not None:
+            # the greatest share that one direction has in what vectors of a list differ by
+            own = np.linalg.eigvalsh(rest.T @ rest)
+            reach *= min(1.0, spread * float(np.sqrt(own[-1] / own.sum())) if own.sum() > 0 else 1.0)
+        return cls(coarse, [kmeans(rest[:, p], CODES, rng) for p in parts], parts, reach)
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes and the norm of what they miss."""
@@ -93,21 +138,27 @@ class Index:
         return codes.astype(np.uint8), np.sqrt((rest * rest).sum(1))
 
     def probes(self, x: np.ndarray) -> np.ndarray:
-        """The nearest list, then those of greater numbers that may hold a vector within
-        reach; rows are filled up with -1."""
-        half = (self.coarse * self.coarse).sum(1) / 2
-        between = np.sqrt(np.maximum(0, 2 * (half[:, None] + half - self.coarse @ self.coarse.T)))
-        found = []
-        for i in range(0, len(x), 512):
-            score = half - x[i : i + 512] @ self.coarse.T
-            home = score.argmin(1)
-            rows = np.arange(len(home))
-            asked = score - score[rows, home][:, None] <= self.reach * between[home] + 1e-6  # halves of squared distances
-            asked &= np.arange(len(self.coarse)) > home[:, None]
-            found += [np.concatenate([[h], np.flatnonzero(a)]) for h, a in zip(home, asked, strict=True)]
-        out = np.full((len(found), max(map(len, found), default=1)), -1)
-        for row, lists in zip(out, found, strict=True):
-            row[: len(lists)] = lists
+        """The nearest list, then those of greater numbers within the margin; rows are
+        filled up with -1."""
+        near: list[list[np.ndarray]] = []  # by half and row: centres within the margin, the nearest first
+        for side, centres in zip(self.coarse.sides, self.coarse.centres, strict=True):
+            half = (centres * centres).sum(1) / 2
+            between = np.sqrt(np.maximum(0, 2 * (half[:, None] + half - centres @ centres.T)))
+            found: list[np.ndarray] = []
+            for i in range(0, len(x), 512):
+                score = half - x[i : i + 512, side] @ centres.T
+                home = score.argmin(1)
+                asked = score - score[np.arange(len(home)), home][:, None] <= self.margin * between[home] + 1e-6  # halves of squared distances
+                asked[np.arange(len(home)), home] = False
+                found += [np.concatenate([[h], np.flatnonzero(a)]) for h, a in zip(home, asked, strict=True)]
+            near.append(found)
+        lists = []
+        for row in zip(*near, strict=True):
+            at = self.coarse.number([g.ravel() for g in np.meshgrid(*row, indexing="ij")])
+            lists.append(np.concatenate([at[:1], np.sort(at[1:][at[1:] > at[0]])]))
+        out = np.full((len(lists), max(map(len, lists), default=1)), -1)
+        for row, found_ in zip(out, lists, strict=True):
+            row[: len(found_)] = found_
         return out
 
     def tables(self, query: np.ndarray, at: int) -> np.ndarray:
@@ -176,7 +227,7 @@ def units_of(vectors: DataFrame, indexes: dict[int, Index], cuts: dict) -> DataF
                 codes, missed = index.encode(x, probes[:, 0])
                 for i, lists, code, miss in zip(rows, probes.tolist(), codes, missed.tolist(), strict=True):
                     own, asked = chunks.get((dim, lists[0]), (1, 1))
-                    home = np.int32(lists[0]).tobytes()
+                    home = np.int64(lists[0]).tobytes()
                     mine = int(k[i]) * 0x9E3779B97F4A7C15 >> 20
                     for q in range(asked):
                         _add(out, dim, lists[0], mine % own, q, 0, int(k[i]), int(many[i]), raw[i] + code.tobytes() + np.float64(miss).tobytes())
@@ -184,14 +235,14 @@ def units_of(vectors: DataFrame, indexes: dict[int, Index], cuts: dict) -> DataF
                         own, asked = chunks.get((dim, at), (1, 1))
                         for c in range(own):
                             _add(out, dim, at, c, mine % asked, 1, int(k[i]), int(many[i]), raw[i] + home)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["dim", "list", "c", "q", "side", "k", "many", "raw"])
 
     def _add(out: list[list], *row) -> None:
         for column, value in zip(out, row, strict=True):
             column.append(value)
 
-    return vectors.select("k", "many", "u").mapInArrow(run, "dim int, list int, c int, q int, side byte, k long, many long, raw binary")
+    return vectors.select("k", "many", "u").mapInArrow(run, "dim int, list long, c int, q int, side byte, k long, many long, raw binary")
 
 
 def by_length(raw: list[bytes]) -> dict[int, list[int]]:
@@ -207,7 +258,7 @@ def list_sizes(vectors: DataFrame, indexes: dict[int, Index]) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int], list[int]] = {}
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             raw = batch.column(0).to_pylist()
             for dim, rows in by_length(raw).items():
                 probes = sent.value[dim].probes(np.stack([np.frombuffer(raw[i]) for i in rows]))
@@ -217,8 +268,8 @@ def list_sizes(vectors: DataFrame, indexes: dict[int, Index]) -> dict:
         rows = [(*k, *v) for k, v in counts.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], names=["dim", "list", "own", "asked"])
 
-    rows = vectors.select("u").mapInArrow(run, "dim long, list long, own long, asked long").groupBy("dim", "list").agg(F.sum("own").alias("own"), F.sum("asked").alias("asked")).collect()
-    return {(r.dim, r.list): (max(1, -(-r.own // CHUNK)), max(1, -(-r.asked // CHUNK))) for r in rows}
+    rows = vectors.select("u").mapInArrow(run, "dim long, list long, own long, asked long").groupBy("dim", "list").agg(F.sum("own").alias("own"), F.sum("asked").alias("asked")).filter((F.col("own") > CHUNK) | (F.col("asked") > ASKED)).collect()
+    return {(r.dim, r.list): (max(1, -(-r.own // CHUNK)), max(1, -(-r.asked // ASKED))) for r in rows}
 
 
 def link_units(units: DataFrame, indexes: dict[int, Index], cosine: float) -> DataFrame:
@@ -258,7 +309,7 @@ def link_units(units: DataFrame, indexes: dict[int, Index], cosine: float) -> Da
         codes = np.stack([np.frombuffer(raw[i], np.uint8, parts, 8 * dim) for i in member])
         missed = np.array([np.frombuffer(raw[i], np.float64, 1, 8 * dim + parts)[0] for i in member])
         away = np.zeros(len(raw), bool)
-        away[query] = [np.frombuffer(raw[i], np.int32, 1, 8 * dim)[0] != at for i in query]
+        away[query] = [np.frombuffer(raw[i], np.int64, 1, 8 * dim)[0] != at for i in query]
         q, m = index.candidates(x[query], at, codes, missed, reach)
         q, m = query[q], m
         apart = k[q] != k[member[m]]
@@ -281,15 +332,15 @@ def link_units(units: DataFrame, indexes: dict[int, Index], cosine: float) -> Da
     return units.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "k long, n long, a long, b long")
 
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """Per row: id, n_links, component_id, kept."""
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, spread: float | None = SPREAD) -> DataFrame:
+    """Per row: id, n_links, component_id, kept. With spread=None no link is lost."""
     known, vectors = classes_of(rows, id_col, vec_col)
     # a bounded sample for each length of vectors
     dims = {r.dim: r.n for r in vectors.groupBy((F.octet_length("u") / 8).cast("long").alias("dim")).agg(F.count("*").alias("n")).collect()}
     indexes = {}
     for dim, n in dims.items():
         sample = vectors.filter(F.octet_length("u") == 8 * dim).orderBy("d").limit(SAMPLE).select("u").collect()
-        indexes[dim] = Index.fit(np.stack([np.frombuffer(bytes(r.u)) for r in sample]), n, cosine=cosine)
+        indexes[dim] = Index.fit(np.stack([np.frombuffer(bytes(r.u)) for r in sample]), n, cosine=cosine, spread=spread)
     units = units_of(vectors, indexes, list_sizes(vectors, indexes))
     found = written(link_units(units, indexes, cosine), "near")
     released(rows.sparkSession)

@@ -84,3 +84,25 @@ def test_many_lists_lose_nothing(spark, monkeypatch):
     assert len(vectors.Index.fit(x, len(x)).coarse) > 100
     assert vectors.recall(x) == 1.0
     check(spark, rows)
+
+
+@pytest.mark.parametrize("rows", [20_000, 160_000, 16_000_000])
+def test_recall_at_the_threshold_over_many_lists(rows):
+    """Planted pairs of cosine 0.95 to 0.951, with the lists that so many rows have."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.95, 0.951, (len(x), 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * side
+    index = vectors.Index.fit(x[: vectors.SAMPLE], rows)
+    assert len(index.coarse) >= rows // vectors.LIST_SIZE
+    a, b = index.probes(x[-2000:]), index.probes(y[-2000:])
+    hit = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+    print(rows, len(index.coarse), hit.mean())
+    assert hit.mean() >= 0.97
+    exact = vectors.Index.fit(x[: vectors.SAMPLE], 20_000, spread=None)
+    a, b = exact.probes(x[-300:]), exact.probes(y[-300:])
+    assert ((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).all()
