@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.config import AUDIT_OFFERED, INTERVIEWED
+from sluice.functions import text as T
 from sluice.operators.predicates import active_record, clock, stale
 
-SENTENCE = r"(?i)\b(your|you|we|our|thank|application|regarding|received)\b"
+# Words of messages, which a job title doesn't have.
+MESSAGE_WORDS = ["hi", "hello", "dear", "thank", "thanks", "thank you", "your", "you", "we", "our", "availability", "interest", "regarding", "please"]
+SENTENCE = r"(?i)\b(" + "|".join(MESSAGE_WORDS) + r")\b"
 
 
 def table_digest(df: DataFrame) -> DataFrame:
@@ -31,12 +34,18 @@ def delta(before: DataFrame, after: DataFrame, key: str = "name", value: str = "
     return j.filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def _job_id(apps: DataFrame) -> Column:
+    """The job id of a record: its own, else that of its URL."""
+    known = T.job_id_from_url(T.job_url(F.col("job_url")))["job_id"]
+    return F.coalesce(T.job_id(F.col("external_job_id")), known) if "external_job_id" in apps.columns else known
+
+
 def data_quality(applications: DataFrame) -> DataFrame:
     """One row of counts over active applications."""
     apps = applications.filter(active_record())
     role = F.coalesce("role", F.lit(""))
     shared = apps.select("id", F.explode(F.array_distinct("thread_ids")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared_threads"))
-    one = apps.agg(F.count("*").alias("active_applications"), F.count_if(F.trim(role) == "").alias("empty_role"), F.count_if(role.rlike(SENTENCE) | (F.length(role) > 70)).alias("sentence_like_role"), F.count_if(F.size("thread_ids") == 0).alias("without_thread"), F.count("job_url").alias("with_job_url"))
+    one = apps.agg(F.count("*").alias("active_applications"), F.count_if(F.trim(role) == "").alias("empty_role"), F.count_if(role.rlike(SENTENCE) | (F.length(role) > 70)).alias("sentence_like_role"), F.count_if(F.size("thread_ids") == 0).alias("without_thread"), F.count_if(F.col("job_url") != "").alias("with_job_url"), F.count(_job_id(apps)).alias("with_external_job_id"))
     return one.crossJoin(shared)  # one row each
 
 

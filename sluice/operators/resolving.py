@@ -58,7 +58,9 @@ def _has(array: str, value: str) -> Column:
 
 
 def scored(messages: DataFrame, applications: DataFrame, links: DataFrame) -> DataFrame:
-    """(evidence_id, id, score, signals): signals are struct(name, weight)."""
+    """(evidence_id, id, score, signals): signals are struct(name, weight). A job id's source
+    is that of its URL; a message's source is compared with the portal's."""
+    portal = "portal" if "portal" in applications.columns else "source"
     m, a = messages.alias("m"), applications.alias("a")
     pairs = candidates(messages, applications, links).join(m, "evidence_id").join(a, "id").join(links.withColumnRenamed("application_id", "id"), "id", "left")
     f = lambda side, c: F.col(f"{side}.{c}")
@@ -94,7 +96,7 @@ def scored(messages: DataFrame, applications: DataFrame, links: DataFrame) -> Da
         ("sole_active_application_at_company", F.col("sole") & f("m", "kind").isin("status_update", "follow_up") & (F.coalesce(r, F.lit("")) != "conflict")),
         ("date_in_window", inside),
         ("date_out_of_window", ~inside),
-        ("source_match", ~f("m", "source").isin("other", "gmail") & (f("m", "source") == f("a", "source"))),
+        ("source_match", ~f("m", "source").isin("other", "gmail") & (f("m", "source") == f("a", portal))),
         ("terminal_application_new_acknowledgement", f("a", "current_status").isin(TERMINAL) & (f("m", "kind") == "acknowledgement")),
     ]
     signals = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(name).alias("name"), F.lit(WEIGHTS[name]).alias("weight"))) for name, hit in rules]))
