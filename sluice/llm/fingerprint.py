@@ -8,7 +8,7 @@ likeness of two texts is the share of common hashes among the SIZE smallest of b
 
 Null texts are empty; an empty text has the empty fingerprint, which is like itself
 (1) and unlike any other (0). Documents of one id follow each other in the order of
-their texts, null ids come last. A lone document is its own next one. An empty table
+their texts, in one bucket; null ids come last. A lone document is its own next one. An empty table
 gives an empty result, further columns are ignored.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 SIZE = 128
 ROWS_A_BUCKET = 2000
+MOST_BUCKETS = 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -143,20 +144,27 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     near_edited, near_next. Texts are shuffled once, by ranges of the id; the first
     document of each range is also put after the last of the range before."""
     base = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    low, high, n, known = base.agg(F.min("i"), F.max("i"), F.count("*"), F.count("i")).first()
-    buckets = max(1, n // ROWS_A_BUCKET)
-    width = max(1, -(-(high - low + 1) // buckets)) if known else 1
-    last = buckets + 1 if known < n else (high - low) // width if known else 0
-    # descending ids: the highest are in bucket 0; null ids have a bucket of their own, the last
-    bucket = F.coalesce(F.floor((F.lit(high).cast("long") - F.col("i")) / F.lit(width)).cast("long"), F.lit(last).cast("long"))
-    rows = base.withColumn("b", bucket)
+    n, known, low = base.agg(F.count("*"), F.count("i"), F.min("i").cast("long")).first()
+    parts = max(1, min(n // ROWS_A_BUCKET, MOST_BUCKETS))
+    # quantiles, so that uneven ids fill the buckets evenly
+    shares = [k / parts for k in range(1, parts)]
+    found = base.agg(F.percentile_approx(F.col("i").cast("long"), shares, max(10_000, 4 * parts))).first()[0] if shares else None
+    bounds = np.unique(np.array(found or [], np.int64))
+    last = len(bounds) + 1 if known < n else len(bounds) - int(np.searchsorted(bounds, low)) if known else 0
+
+    @F.arrow_udf("int")
+    def bucket(ids: pa.Array) -> pa.Array:
+        """Descending ids: the highest are in bucket 0; null ids have the last one."""
+        place = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy())
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), last, place), pa.int32())
+
+    rows = base.withColumn("b", bucket(F.col("i").cast("long")))
     first = rows.groupBy("b").agg(F.max("i").alias("top"))
-    # one row per bucket of ROWS_A_BUCKET documents
+    # one row per bucket, of which there are MOST_BUCKETS at most
     order = first.withColumn("before", F.coalesce(F.lag("b").over(Window.orderBy("b")), F.lit(last)))
-    heads = rows.join(order.hint("broadcast") if buckets <= 100_000 else order, (rows.b == order.b) & rows.i.eqNullSafe(order.top))
+    heads = rows.join(F.broadcast(order), (rows.b == order.b) & rows.i.eqNullSafe(order.top))
     heads = heads.groupBy(order.before.alias("b"), rows.i.alias("i")).agg(F.min("t").alias("t")).withColumn("z", F.lit(1))
-    parts = max(1, min(buckets, 20_000))
-    dealt = rows.select("b", "i", "t", F.lit(0).alias("z")).unionByName(heads).repartition(parts, "b").sortWithinPartitions("b", "z", F.col("i").desc_nulls_last(), "t")
+    dealt = rows.select("b", "i", "t", F.lit(0).alias("z")).unionByName(heads).repartitionById(last + 1, "b").sortWithinPartitions("b", "z", F.col("i").desc_nulls_last(), "t")
     kind = docs.schema[id_col].dataType
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
