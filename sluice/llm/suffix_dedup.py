@@ -124,10 +124,10 @@ def find_anchors(docs: DataFrame) -> DataFrame:
                     salt = o_[salt].view(np.uint64) * np.uint64(31) + t_[salt].astype(np.int64).view(np.uint64) + v[salt].view(np.uint64)
                     h = np.where(common, mix(h + mix(salt)), h)
                     v = v | common
-                    h, o_, t_, v = (np.concatenate([x, y]) for x, y in ((h, marks), (o_, np.zeros(len(marks), np.int64)), (t_, np.zeros(len(marks), np.int32)), (v, np.full(len(marks), -1))))
+                    h, o_, t_, v = (np.concatenate([x, y]) for x, y in ((h, marks), (o_, np.zeros(len(marks), np.int64)), (t_, np.zeros(len(marks), np.int64)), (v, np.full(len(marks), -1))))
                 yield pa.RecordBatch.from_arrays([_signed(h), pa.array(o_), pa.array(t_), pa.array(v)], names=["h", "o", "t", "v"])
 
-    return docs.select("o", "t", "text").mapInArrow(run, "h long, o long, t int, v long")
+    return docs.select("o", "t", "text").mapInArrow(run, "h long, o long, t long, v long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def repeated(found: DataFrame) -> DataFrame:
             cut = np.repeat(marked | (much > CHUNK), count)
             keep = (np.repeat(much > 1, count) | (rows[3] & 1 == 1)) & (rows[3] != -1)
             g = mix(rows[0].view(np.uint64) + (rank // CHUNK).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            return pa.RecordBatch.from_arrays([pa.array(rows[1][keep]), pa.array(rows[2][keep].astype(np.int32)), pa.array((rows[3] | cut)[keep]), _signed(g[keep])], names=["o", "t", "v", "g"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[1][keep]), pa.array(rows[2][keep]), pa.array((rows[3] | cut)[keep]), _signed(g[keep])], names=["o", "t", "v", "g"])
 
         for batch in batches:
             rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
@@ -170,7 +170,7 @@ def repeated(found: DataFrame) -> DataFrame:
         if held is not None and held.shape[1]:
             yield give(held, gone)
 
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "o long, t int, v long, g long")
+    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "o long, t long, v long, g long")
 
 
 def stretches(docs: DataFrame, dups: DataFrame) -> DataFrame:
@@ -195,9 +195,9 @@ def stretches(docs: DataFrame, dups: DataFrame) -> DataFrame:
             yield _rows(out)
 
     def _rows(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["g", "o", "t", "v", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["g", "o", "t", "v", "bytes"])
 
-    return docs.select("o", "t", "text").join(lists, ["o", "t"]).select("o", "t", "text", "vs", "gs").mapInArrow(run, "g long, o long, t int, v long, bytes binary")
+    return docs.select("o", "t", "text").join(lists, ["o", "t"]).select("o", "t", "text", "vs", "gs").mapInArrow(run, "g long, o long, t long, v long, bytes binary")
 
 
 def compare(g: np.ndarray, o: np.ndarray, t: np.ndarray, v: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -320,16 +320,16 @@ def removed(pieces: DataFrame) -> DataFrame:
             common = parts[x][at - BAND * band : at - BAND * band - BAND + 1 + WIDTH]
             digests = [hashlib.md5(parts[x][at - n : at - n + WIDTH]).digest() for n in before[ks].tolist()]
             rows_.append((int(o[x]), int(t[x]), None, None, hashlib.md5(common).digest() + bytes([band]), start[ks].tolist(), digests))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows_], k) for c, k in enumerate(kinds)], names=["o", "t", "a", "b", "w", "starts", "digests"])
 
-    return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(run, "o long, t int, a long, b long, w binary, starts array<long>, digests array<binary>")
+    return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(run, "o long, t long, a long, b long, w binary, starts array<long>, digests array<binary>")
 
 
 def repeated_spans(docs: DataFrame, order: Column, text: Column) -> DataFrame:
     """(o, t, spans): what to remove of each document, o the place in the order of ids
-    (order: a long) and t a hash of the text."""
-    base = docs.select(order.alias("o"), F.hash(text).alias("t"), text.alias("text"))
+    (order: a long) and t a 64-bit hash of the text, which tells rows of one id or none apart."""
+    base = docs.select(order.alias("o"), F.xxhash64(text).alias("t"), text.alias("text"))
     known = base.select("o", "t", F.md5("text").alias("m"), F.octet_length("text").cast("long").alias("n")).filter(F.col("n") >= WIDTH)
     least = known.groupBy("m").agg(F.min("o").alias("first"), F.count("*").alias("many")).filter("many > 1")
     copies = written(known.join(least, "m").filter("o > first").select("o", "t", "n").distinct(), "copies")
@@ -364,7 +364,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Da
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
     gone = repeated_spans(docs, order, text)
-    rows = docs.select(order.alias("o"), F.hash(text).alias("t"), text.alias("_text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
+    rows = docs.select(order.alias("o"), F.xxhash64(text).alias("t"), text.alias("_text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
     return rows.join(gone, ["o", "t"], "left").select("_text", "spans", *[f"c{k}" for k in range(len(carry))])
 
 
