@@ -212,9 +212,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = {r.l: r.n for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    place = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(11)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.col("t")), F.lit(11)), F.lit(1 << 30))
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 30) * min(1.0, SAMPLE_PER_LANG / n)))])
-    rows = usable.filter(place < F.element_at(limit, F.col("l"))).select("i", "t", "l").collect()
+    # one row of each id and language, or of each text without an id: repeated rows can't swell the sample
+    known = usable.filter(place < F.element_at(limit, F.col("l"))).groupBy("l", "i", F.when(F.col("i").isNull(), F.col("t"))).agg(F.min("t").alias("t"))
+    rows = known.select("i", "t", "l").collect()
     rows.sort(key=lambda r: (r.l, str(r.i), r.t))
     langs = sorted({r.l for r in rows})
     if not langs:

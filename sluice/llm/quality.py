@@ -173,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if held_out is not None:
         usable = usable.filter(~held_out)
     chosen = usable.groupBy(F.col(id_col).alias("_i")).agg(F.min(label_col).alias("_y")).orderBy(F.xxhash64(F.col("_i").cast("string"), F.lit(5)), "_i").limit(SAMPLE)
-    rows = docs.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_i").collect()
+    rows = docs.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_i")
+    rows = rows.groupBy("_i", "_y").agg(F.min("_t").alias("_t")).collect()  # one of the rows that repeat an id
     rows.sort(key=lambda r: (r["_i"], r["_t"]))
     return Model([r["_t"] for r in rows], [r["_y"] for r in rows]) if rows else None
 
