@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one set here where none is set (single-machine tests only)."""
+    temporary one set here where none is set and Spark is a single machine's, as in tests."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
