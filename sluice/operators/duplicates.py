@@ -61,12 +61,16 @@ def _scored(pairs: DataFrame, fuzzily: bool) -> DataFrame:
 
 def candidate_pairs(known: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """(lo, hi, score, reasons) of all pairs that reach the threshold. Company and role
-    are exact within their own block, so no Python runs there."""
+    are exact within their own block, so no Python runs there; that block is joined by
+    stretches of the date window and their neighbours too, as one company and role may
+    hold any number of records."""
     l, r = known.alias("l"), known.alias("r")
     apart = F.col("l.id") < F.col("r.id")
     equal = lambda *cs: [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cs]
     near = F.abs(F.datediff("l.applied_date", "r.applied_date")) <= DATE_WINDOW_DAYS[1]
-    text = l.filter("company <> '' AND role <> ''").join(r, [*equal("company", "role"), apart, near])
+    named = known.filter("company <> '' AND role <> ''").withColumn("stretch", F.floor(F.unix_date(F.to_date("applied_date")) / DATE_WINDOW_DAYS[1]))
+    around = named.withColumn("stretch", F.explode(F.sequence(F.col("stretch") - 1, F.col("stretch") + 1)))
+    text = around.alias("l").join(named.alias("r"), [*equal("company", "role", "stretch"), apart, near])
     ids = l.filter("job_id IS NOT NULL").join(r, [*equal("job_id", "source"), apart])
     urls = l.filter("url IS NOT NULL").join(r, [*equal("url"), apart])
     found = _scored(text, False).unionByName(_scored(ids, True)).unionByName(_scored(urls, True))
