@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; sets one only where none is set."""
+    """Uses the shared folder that the cluster names; sets one only on a single machine
+    where none is set, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sluice-"))
 
 
