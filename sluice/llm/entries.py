@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, conversations, fingerprint, html, langid, lattice, packing, quality, simhash, suffix_dedup, vectors, whitening
+from sluice.llm import bpe, conversations, fingerprint, html, langid, lattice, packing, pii, quality, simhash, suffix_dedup, vectors, whitening
 from sluice.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_packing": op10_packing,
     "op11_conversations": op11_conversations,
+    "op12_pii": op12_pii,
     "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op11_conversations": conversations.REPAIR_SQL}
