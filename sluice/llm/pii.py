@@ -461,7 +461,7 @@ def find(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
             lists = [pa.array([[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in some], pa.list_(span)) for some in (base, more)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *lists], names=[*columns, "base", "added"])
 
-    kind = ArrayType(StructType().add("kind", "string").add("start", "int").add("end", "int"))
+    kind = ArrayType(StructType().add("kind", "string").add("start", "integer").add("end", "integer"))
     schema = docs.select(*columns).schema.add("base", kind).add("added", kind)
     return docs.select(*columns, text_col).mapInArrow(run, schema)
 
@@ -471,5 +471,6 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = find(docs, fit(docs, id_col, text_col), id_col, text_col)
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     order = F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(id_col, *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.array_sort(order)).alias("spans"))
