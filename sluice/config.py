@@ -22,6 +22,8 @@ AUDIT_OFFERED = ["Offer Negotiation", "Offer", "Joined"]
 RESPONDED = [*SHORTLISTED, "Rejected"]
 ACTIVE = ["Applied", "Resume Shortlisted", "Interview Scheduled", "Interview In Progress", "Offer Negotiation"]
 TERMINAL = ["Rejected", "Withdrawn"]
+#: Statuses whose applications no new message is expected for.
+CLOSED = ["Rejected", "Withdrawn", "Joined"]
 
 # What a signal may change a status to, forward only.
 _LATE = ["Offer Negotiation", "Offer", "Rejected"]

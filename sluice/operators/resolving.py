@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.config import DATE_WINDOW_DAYS, MAX_CANDIDATES, TERMINAL, WEIGHTS, Thresholds
+from sluice.config import CLOSED, DATE_WINDOW_DAYS, MAX_CANDIDATES, WEIGHTS, Thresholds
 from sluice.functions import fuzzy
 
 # How many candidates a way of finding them may give, and strong signals.
@@ -26,14 +26,15 @@ def _first(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.filter(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).select(key, "id", "_n")
 
 
-def _word(company: Column) -> Column:
+def word_of(company: Column) -> Column:
     first = F.substring_index(company, " ", 1)
     return F.when(F.length(first) >= 3, first)
 
 
-def candidates(messages: DataFrame, applications: DataFrame, links: DataFrame) -> DataFrame:
-    """(evidence_id, id): at most MAX_CANDIDATES each, in the order of the ways."""
-    apps = applications.select("id", "job_id", "url", "company", _word(F.col("company")).alias("word"), "thread_ids")
+def candidates(messages: DataFrame, applications: DataFrame, links: DataFrame, tiers: bool = False) -> DataFrame:
+    """(evidence_id, id): at most MAX_CANDIDATES each, in the order of the ways; with the way's
+    tier where asked."""
+    apps = applications.select("id", "job_id", "url", "company", word_of(F.col("company")).alias("word"), "thread_ids")
     ways = [
         ("job_id", _first(apps, "job_id", PER_KEY["job_id"]).withColumnRenamed("job_id", "key")),
         ("url", _first(apps, "url", PER_KEY["url"]).withColumnRenamed("url", "key")),
@@ -43,14 +44,14 @@ def candidates(messages: DataFrame, applications: DataFrame, links: DataFrame) -
         ("company", _first(apps, "company", PER_KEY["company"]).withColumnRenamed("company", "key")),
         ("word", _first(apps, "word", PER_KEY["prefix"]).withColumnRenamed("word", "key")),
     ]
-    asked = messages.withColumn("word", _word(F.col("company")))
+    asked = messages.withColumn("word", word_of(F.col("company")))
     found = None
     for tier, (column, keyed) in enumerate(ways):
         part = asked.select("evidence_id", F.col(column).alias("key")).filter("key <> ''").join(keyed, "key").select("evidence_id", "id", F.struct(F.lit(tier if tier < 4 else tier - 1).alias("tier"), F.col("id").alias("n")).alias("at"))
         found = part if found is None else found.unionByName(part)
     once = found.groupBy("evidence_id", "id").agg(F.min("at").alias("at"))
     w = Window.partitionBy("evidence_id").orderBy("at")
-    return once.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= MAX_CANDIDATES).select("evidence_id", "id")
+    return once.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= MAX_CANDIDATES).select("evidence_id", "id", *([F.col("at.tier").alias("tier")] if tiers else []))
 
 
 def _has(array: str, value: str) -> Column:
@@ -64,7 +65,7 @@ def scored(messages: DataFrame, applications: DataFrame, links: DataFrame) -> Da
     m, a = messages.alias("m"), applications.alias("a")
     pairs = candidates(messages, applications, links).join(m, "evidence_id").join(a, "id").join(links.withColumnRenamed("application_id", "id"), "id", "left")
     f = lambda side, c: F.col(f"{side}.{c}")
-    open_here = (f("m", "company") != "") & (f("m", "company") == f("a", "company")) & ~f("a", "current_status").isin(TERMINAL)
+    open_here = (f("m", "company") != "") & (f("m", "company") == f("a", "company")) & ~f("a", "current_status").isin(CLOSED)
     pairs = pairs.withColumn("sole", open_here & (F.count_if(open_here).over(Window.partitionBy("evidence_id")) == 1))
     pairs = pairs.withColumns({"c": fuzzy.company_relation(f("m", "company"), f("a", "company")), "r": fuzzy.role_relation(f("m", "role"), f("a", "role"))})
     thread = F.coalesce(F.array_contains(f("a", "thread_ids"), f("m", "thread_id")), F.lit(False))
@@ -97,7 +98,7 @@ def scored(messages: DataFrame, applications: DataFrame, links: DataFrame) -> Da
         ("date_in_window", inside),
         ("date_out_of_window", ~inside),
         ("source_match", ~f("m", "source").isin("other", "gmail") & (f("m", "source") == f("a", portal))),
-        ("terminal_application_new_acknowledgement", f("a", "current_status").isin(TERMINAL) & (f("m", "kind") == "acknowledgement")),
+        ("terminal_application_new_acknowledgement", f("a", "current_status").isin(CLOSED) & (f("m", "kind") == "acknowledgement")),
     ]
     signals = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(name).alias("name"), F.lit(WEIGHTS[name]).alias("weight"))) for name, hit in rules]))
     found = pairs.select("evidence_id", "id", signals.alias("signals"))

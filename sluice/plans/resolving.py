@@ -8,6 +8,7 @@ from sluice import views as V
 from sluice.functions import text as T
 from sluice.operators import duplicates as D
 from sluice.operators import listing as L
+from sluice.operators import replay as P
 from sluice.operators import resolving as R
 from sluice.plans.registry import query
 
@@ -55,6 +56,12 @@ def candidates_by_company(spark, sf):
     return R.candidates(messages, _applications(spark, sf), empty).groupBy("evidence_id").agg(F.count("*").alias("candidates"), F.sum("id").alias("ids"))
 
 
+@query()
+def replayed_messages(spark, sf):
+    """Every message after those before it: a second acknowledgement links to what the first created."""
+    return P.replay(_messages(spark, sf), _applications(spark, sf), _links(spark, sf))
+
+
 @query()
 def resolution_reasons(spark, sf):
     found = R.resolve(_messages(spark, sf), _applications(spark, sf), _links(spark, sf))
