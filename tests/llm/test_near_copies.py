@@ -55,3 +55,51 @@ def test_versions_and_odd_rows(spark):
     assert all(any(similarity(every[i], every[j]) >= near_copies.SIMILAR for j in every if j < i) for i in every if i not in texts)
     assert len(kept) == len(texts) + 2 and {0, 100, 102} <= set(ids)
     assert near_copies.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 3), (None, a, 4), (9, b.upper(), 5)]
+    kept = near_copies.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.n for r in kept) == [0, 2, 3, 4]
+
+
+def boilerplate(n, unlike):
+    """Texts of 300 common words and some of their own: none is a near copy of another."""
+    common = [f"common{i}" for i in range(300)]
+    return [(i, " ".join(common + [f"own{i}x{k}" for k in range(unlike)]), 0) for i in range(n)]
+
+
+def test_boilerplate_does_not_multiply(spark, monkeypatch):
+    rows = boilerplate(300, 60)
+    assert 0.6 < similarity(rows[0][1], rows[1][1]) < 0.8
+    counts = []
+    plain = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: (counts.append((pairs.count(), pairs.distinct().count())), plain(pairs, sets))[1])
+    assert near_copies.keep_one(spark.createDataFrame(rows, DOCS)).count() == 300
+    assert sum(n for n, _ in counts) < 5 * 300 and all(n == m for n, m in counts)
+
+
+def test_prefixes_lose_no_pair(spark):
+    """All pairs of random sets of 0.8 or more are among those of the prefixes."""
+    rng = np.random.default_rng(7)
+    sets = []
+    for k in range(60):
+        base = rng.choice(400, rng.integers(1, 60), replace=False)
+        for _ in range(4):
+            own = [x for x in base if rng.random() < 0.93] + rng.integers(400, 900, rng.integers(0, 4)).tolist()
+            sets.append(sorted({int(x) for x in own}) or [int(base[0])])
+    rows = [(bytes([k >> 8, k & 255]), (k, b""), s) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "d binary, o struct<m: long, d: binary>, h array<bigint>")
+    found = {(int.from_bytes(r.a), int.from_bytes(r.b)) for r in near_copies.prefix_pairs(df).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near_copies.jaccard(frozenset(sets[i]), frozenset(sets[j])) >= near_copies.SIMILAR}
+    assert want <= found and len(want) > 50 and len(found) < len(sets) ** 2 / 8
+    checked = {(int.from_bytes(r.a), int.from_bytes(r.b)) for r in near_copies.verified(near_copies.prefix_pairs(df), df).collect()}
+    assert checked == want
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "x y", 7, 8, 9, 10), (2, "x y", 7, 8, 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d int, m int, gone int, i int")
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == rows[:1]

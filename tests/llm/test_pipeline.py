@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sluice.llm import simhash, suffix_dedup
+from sluice.llm import near_copies, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,18 +32,13 @@ def test_columns_and_rejects(steps):
     assert len(ids[1]) >= 0.9 * len(ids[0]) and len(ids[2]) >= 0.4 * len(ids[1])
 
 
-def test_near_duplicates_keep_the_first_of_each_group(steps):
-    rows = [(r.doc_id, r.text or "") for r in steps[2].collect()]
-    fps = {i: simhash.fingerprint(t) for i, t in rows}
-    up = {i: i for i in fps}
-    for _ in fps:
-        for a in fps:
-            for b in fps:
-                if bin(fps[a] ^ fps[b]).count("1") <= 4 and up[a] != up[b]:
-                    up[a] = up[b] = min(up[a], up[b])
-        if all(up[up[i]] == up[i] for i in up):
-            break
-    assert {r.doc_id for r in steps[3].collect()} == {up[i] for i in up}
+def test_near_duplicates_by_the_jaccard_of_all_pairs(steps):
+    """No two that stay are near copies; each that goes is one of an earlier document."""
+    sets = {r.doc_id: frozenset(near_copies.shingles(near_copies.words_of(r.text))) for r in steps[2].collect()}
+    kept = sorted(r.doc_id for r in steps[3].select("doc_id").collect())
+    alike = lambda a, b: near_copies.jaccard(sets[a], sets[b]) >= near_copies.SIMILAR
+    assert not any(alike(a, b) for k, b in enumerate(kept) for a in kept[:k])
+    assert all(any(alike(a, b) for a in sets if a < b) for b in sets if b not in set(kept))
 
 
 def test_no_repeats_are_left_of_the_input(steps):
