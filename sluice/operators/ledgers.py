@@ -12,7 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.config import TRANSITIONS
+from sluice.config import STATUSES, TRANSITIONS
+from sluice.operators.components import checkpoint_dir
+
+#: Signals that a task folds at once.
+RANGE = 1024
 
 
 def _row(keys: list[str], *order: Column) -> Column:
@@ -64,21 +68,57 @@ def cascade_delete(parents: DataFrame, children: dict[str, DataFrame], gone: Dat
     return parents.join(free, "id", "left_anti"), {n: c.join(free.select(F.col("id").alias(key)), key, "left_anti") for n, c in children.items()}
 
 
-def fold_status(signals: DataFrame) -> DataFrame:
+def _next_status() -> Column:
+    """The status after a signal, by numbers: of each signal, of each status before it."""
+    after = [[STATUSES.index(to) if to in TRANSITIONS[status] else k for k, status in enumerate(STATUSES)] for to in STATUSES]
+    return F.array(*[F.array(*map(F.lit, row)) for row in after])
+
+
+def _entered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The status in which each range of a record's signals begins: its maps taken in order."""
+    last, status = object(), 0
+    for frame in frames:
+        out = []
+        for key, moves in zip(frame["application_id"].tolist(), frame["moves"]):
+            key = None if key != key else key
+            if key != last:
+                last, status = key, 0
+            out.append(status)
+            status = int(moves[status])
+        yield frame[["application_id", "range"]].assign(status=out)
+
+
+def fold_status(signals: DataFrame, size: int = RANGE) -> DataFrame:
     """(application_id, seq, from_status, to_status): the changes that a record's signals
     make in the order of their arrival, from Applied on; what would go back is ignored.
-    The fold runs over the sorted signals of a record in generated code."""
-    allowed = F.create_map(*[x for k, to in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, to)).cast("array<string>"))])
-    of = signals.groupBy("application_id").agg(F.sort_array(F.collect_list(F.struct("seq", "signal"))).alias("s"))
-    change = "array<struct<seq:bigint,from_status:string,to_status:string>>"
-    start = F.struct(F.lit("Applied").alias("status"), F.array().cast(change).alias("out"))
+
+    Signals are sorted over the whole table and cut into ranges of a record, at most `size`
+    signals each, so that no task holds a record. A record of several ranges has, for each of them, a map
+    from every status before it to the status after it; the maps, taken in order, say in which
+    status each range begins, and every range gives its own changes then."""
+    checkpoint_dir(signals.sparkSession)
+    number = F.create_map(*[x for k, name in enumerate(STATUSES) for x in (F.lit(name), F.lit(k))])
+    known = signals.select("application_id", F.col("seq").cast("long").alias("seq"), "signal", number[F.col("signal")].alias("to")).filter("to IS NOT NULL")
+    order = ["application_id", "seq", "signal"]
+    placed = known.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.floor(F.monotonically_increasing_id() / size))
+    ranges = placed.groupBy("application_id", "range").agg(F.sort_array(F.collect_list(F.struct("seq", "signal", "to"))).alias("s")).checkpoint()
+    same = lambda a, b, *cs: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cs]
+    several = ranges.groupBy("application_id").agg(F.count("*").alias("n")).filter("n > 1")
+    moves = F.aggregate("s", F.sequence(F.lit(0), F.lit(len(STATUSES) - 1)), lambda m, x: F.transform(m, lambda status: F.get(F.get(F.col("after"), x["to"]), status)))
+    maps = ranges.alias("r").join(several.alias("m"), same("r", "m", "application_id"), "left_semi").withColumn("after", _next_status()).select("application_id", "range", moves.alias("moves"))
+    kind = ranges.schema["application_id"].dataType.simpleString()
+    entered = maps.repartition("application_id").sortWithinPartitions("application_id", "range").mapInPandas(_entered, f"application_id {kind}, range long, status int")
+    each = ranges.alias("r").join(entered.alias("e"), same("r", "e", "application_id", "range"), "left").select("r.application_id", "s", F.coalesce("e.status", F.lit(0)).alias("status")).withColumn("after", _next_status())
+    change = "array<struct<seq:bigint,from:int,to:int>>"
 
     def step(acc: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["seq"].cast("long").alias("seq"), acc["status"].alias("from_status"), x["signal"].alias("to_status")))
-        moves = F.coalesce(F.array_contains(allowed[acc["status"]], x["signal"]), F.lit(False))
-        return F.when(moves, F.struct(x["signal"].alias("status"), F.concat(acc["out"], one).alias("out"))).otherwise(F.struct(acc["status"].alias("status"), acc["out"].alias("out")))
+        to = F.get(F.get(F.col("after"), x["to"]), acc["status"])
+        one = F.array(F.struct(x["seq"].alias("seq"), acc["status"].alias("from"), to.alias("to")))
+        return F.when(to == acc["status"], acc).otherwise(F.struct(to.alias("status"), F.concat(acc["out"], one).alias("out")))
 
-    return of.select("application_id", F.explode(F.aggregate("s", start, step)["out"]).alias("c")).select("application_id", "c.*")
+    made = F.aggregate("s", F.struct(F.col("status"), F.array().cast(change).alias("out")), step)["out"]
+    name = F.array(*map(F.lit, STATUSES))
+    return each.select("application_id", F.explode(made).alias("c")).select("application_id", "c.seq", F.get(name, F.col("c.from")).alias("from_status"), F.get(name, F.col("c.to")).alias("to_status"))
 
 
 def merged_dates(existing: DataFrame, late: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice import views as V
+from sluice.config import TRANSITIONS
 from sluice.operators import ledgers as K
 from sluice.plans.registry import query
 
@@ -57,7 +58,15 @@ def cascading_delete(spark, sf):
     return left.agg(F.count("*").alias("applications")).crossJoin(children["history"].agg(F.count("*").alias("history")))  # one row each
 
 
-@query()
+MOVES = ", ".join(f"('{a}', '{b}')" for a, to in TRANSITIONS.items() for b in to)
+
+
+@query(f"""WITH RECURSIVE sig AS (SELECT application_id, CAST(epoch(changed_at) AS BIGINT) AS seq, to_status AS signal FROM history), move(f, t) AS (VALUES {MOVES}),
+walk AS (SELECT DISTINCT application_id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS from_status, 'Applied' AS to_status FROM sig
+  UNION ALL SELECT application_id, seq, from_status, to_status FROM (
+    SELECT w.application_id, s.seq, w.to_status AS from_status, s.signal AS to_status, row_number() OVER (PARTITION BY w.application_id ORDER BY s.seq, s.signal) AS n
+    FROM walk w JOIN move m ON m.f = w.to_status JOIN sig s ON s.application_id = w.application_id AND s.signal = m.t AND (w.seq IS NULL OR s.seq > w.seq OR (s.seq = w.seq AND s.signal > w.to_status))) WHERE n = 1)
+SELECT * FROM walk WHERE seq IS NOT NULL""")
 def status_machine(spark, sf):
     signals = V.history(spark, sf).select("application_id", F.unix_seconds(F.col("changed_at").cast("timestamp")).alias("seq"), F.col("to_status").alias("signal"))
     return K.fold_status(signals)

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from sluice.config import TRANSITIONS
 from sluice.operators import ledgers as K
 from sluice.operators.components import groups
@@ -23,6 +26,26 @@ def test_status_machine_against_a_plain_walk(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_ranges_of_a_record(spark, size):
+    import random
+
+    rng = random.Random(size)
+    rows = [(a, rng.randint(0, 30), rng.choice([*TRANSITIONS, None, "else"])) for a in (1, 2, None) for _ in range(40)]
+    got = sorted(((r.application_id or 0, r.seq, r.from_status, r.to_status) for r in K.fold_status(spark.createDataFrame(rows, "application_id long, seq long, signal string"), size).collect()))
+    assert got == sorted((a or 0, *c) for a in (1, 2, None) for c in walk([(n, s) for x, n, s in rows if x == a and s]))
+
+
+def test_status_machine_with_a_record_of_a_million_signals(spark):
+    """Most of them would go back; no range holds more than its share."""
+    names = F.array(*map(F.lit, ["Applied", "Resume Shortlisted"]))
+    late = F.when(F.col("id") == 700_000, "Interview Scheduled").when(F.col("id") == 999_998, "Rejected")
+    signals = spark.range(1_000_000).select(F.lit(7).alias("application_id"), F.col("id").alias("seq"), F.coalesce(late, F.get(names, (F.col("id") % 2).cast("int"))).alias("signal"))
+    signals = signals.unionByName(spark.createDataFrame([(8, 5, "Offer")], signals.schema))
+    got = sorted(map(tuple, K.fold_status(signals).collect()))
+    assert got == [(7, 1, "Applied", "Resume Shortlisted"), (7, 700_000, "Resume Shortlisted", "Interview Scheduled"), (7, 999_998, "Interview Scheduled", "Rejected"), (8, 5, "Applied", "Offer")]
+
+
 def test_rate_limit(spark):
     hits = spark.createDataFrame([(1, t) for t in (0, 1, 2, 3, 11, 12)] + [(2, 0)], "key long, at long")
     got = sorted((r.key, r.at, r.admitted) for r in K.admitted(hits, 2, 10).collect())
@@ -32,8 +55,6 @@ def test_rate_limit(spark):
 def test_first_and_last_writer(spark):
     old = spark.createDataFrame([(1, "a", 0)], "k long, v string, t int")
     new = spark.createDataFrame([(1, "b", 1), (2, "c", 2), (2, "d", 3)], "k long, v string, t int")
-    import pyspark.sql.functions as F
-
     assert sorted(map(tuple, K.insert_if_absent(old, new, ["k"], F.col("t")).collect())) == [(1, "a", 0), (2, "c", 2)]
     assert sorted(map(tuple, K.upsert(old, new, ["k"], F.desc("t"), keep=["t"]).collect())) == [(1, "b", 0), (2, "d", 3)]
 
