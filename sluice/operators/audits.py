@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.config import AUDIT_OFFERED, INTERVIEWED
+from sluice.config import AUDIT_OFFERED, DATE_WINDOW_DAYS, INTERVIEWED, MAX_MERGE, Thresholds
 from sluice.functions import text as T
 from sluice.operators.predicates import active_record, clock, stale
 
@@ -105,8 +105,12 @@ def review_plan(kinds: list[DataFrame]) -> DataFrame:
     return all_.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def group_category(min_score: Column, conflict: Column, roles: Column, days: Column) -> Column:
-    return F.when(conflict, "do_not_merge_strong_conflict").when(min_score < 70, "insufficient_evidence").when((min_score >= 80) & (roles <= 1) & (days <= 180), "high_confidence_review").otherwise("medium_confidence_review")
+def group_category(features: str = "") -> Column:
+    """Category of a duplicate group by the columns of duplicates.group_features."""
+    f = lambda c: F.col(f"{features}{c}")
+    strong = f("conflicting_ids") | (f("urls") > 1) | (f("size") > MAX_MERGE)
+    sure = (f("min_score") >= Thresholds().auto_link) & (f("roles") <= 1) & (f("days") <= DATE_WINDOW_DAYS[1])
+    return F.when(strong, "do_not_merge_strong_conflict").when(f("min_score") < Thresholds().duplicate, "insufficient_evidence").when(sure, "high_confidence_review").otherwise("medium_confidence_review")
 
 
 def freshness(state: DataFrame, as_of: str, minutes: int = 15) -> DataFrame:
