@@ -3,13 +3,21 @@ leaks of private text, samples and what changed between two snapshots."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.config import AUDIT_OFFERED, DATE_WINDOW_DAYS, INTERVIEWED, MAX_MERGE, Thresholds
 from sluice.functions import text as T
+from sluice.operators.components import checkpoint_dir
 from sluice.operators.predicates import active_record, clock, stale
 
+#: Least length of a private term, and the bytes of terms that one automaton may hold.
+LEAST, TERM_BYTES = 4, 32 << 20
 # Words of messages, which a job title doesn't have.
 MESSAGE_WORDS = ["hi", "hello", "dear", "thank", "thanks", "thank you", "your", "you", "we", "our", "availability", "interest", "regarding", "please"]
 SENTENCE = r"(?i)\b(" + "|".join(MESSAGE_WORDS) + r")\b"
@@ -81,14 +89,64 @@ def stratified(df: DataFrame, key: str, id_col: str, n: int, seed: int) -> DataF
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def leaks(texts: DataFrame, terms: DataFrame, least: int = 4) -> DataFrame:
-    """(file, term): words of a text that are private terms. Words are matched by an
-    equal join, so neither side has a bound; terms of several words match by their first
-    word and then whole."""
-    good = terms.filter((F.length("term") >= least) & ~F.col("term").rlike(r"^\d+$")).select(F.lower("term").alias("term")).distinct()
-    head = good.select("term", F.regexp_extract("term", r"[\p{L}\p{N}_#@.-]+", 0).alias("word")).filter("word <> ''")
-    words = texts.select("file", F.lower("text").alias("text")).select("file", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_#@.-]+)"), 1))).alias("word"))
-    return words.join(head, "word").filter(F.col("text").contains(F.col("term"))).select("file", "term").distinct()
+def stored_terms(tables: list[tuple[DataFrame, list[str]]], least: int = LEAST) -> DataFrame:
+    """(term): distinct texts of private columns, at least so long."""
+    parts = [df.select(F.explode(F.array(*[F.trim(F.col(c).cast("string")) for c in columns])).alias("term")) for df, columns in tables]
+    return reduce(DataFrame.unionByName, parts).filter(F.length("term") >= least).distinct()
+
+
+def _matches(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """(file, term, email) of the terms in each text, overlapping ones too, and once with no term
+    where a text holds an address. A task builds its automaton once; texts stay where they are."""
+    sent = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for k, term in enumerate(sent.value):
+            automaton.add_word(term, k)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found, address = [], [], []
+            for row, (text, email) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                here: list[int | None] = [*({k for _, k in automaton.iter(text)} if text and sent.value else ())]
+                if email:
+                    here.append(None)
+                at += [row] * len(here)
+                found += [None if k is None else sent.value[k] for k in here]
+                address += [k is None for k in here]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(address, pa.bool_())], names=["file", "term", "email"])
+
+    return texts.mapInArrow(run, f"file {texts.schema['file'].dataType.simpleString()}, term string, email boolean")
+
+
+def leaks(texts: DataFrame, terms: DataFrame, benign: list[str] | None = None, least: int = LEAST, budget: int = TERM_BYTES) -> DataFrame:
+    """(file, term, email): private terms that a file's texts contain, as they stand in any
+    place, by an automaton of all terms; and a row of no term where a file holds an e-mail address.
+    Numbers and `benign` words are no terms; case doesn't count.
+
+    The terms' size is measured first. Up to `budget` bytes they are one automaton; beyond it
+    they are dealt by hash to as many as they need, one pass over the texts each."""
+    rows = texts.select("file", F.lower("text").alias("text"), F.coalesce(F.col("text").rlike(T.EMAIL_PATTERN), F.lit(False)).alias("email"))
+    low = F.lower("term")
+    good = terms.filter((F.length("term") >= least) & ~F.col("term").rlike(r"^\d+$")).select(low.alias("term")).distinct()
+    if benign:
+        good = good.filter(~F.col("term").isin(*{b.lower() for b in benign}))
+    size = good.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // budget))
+    if parts > 1:
+        checkpoint_dir(texts.sparkSession)
+    found = None
+    for part in range(parts):
+        some = good if parts == 1 else good.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
+        one = _matches(rows if part == 0 else rows.withColumn("email", F.lit(False)), [r.term for r in some.collect()]).distinct()
+        one = one if parts == 1 else one.checkpoint()
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def leak_report(found: DataFrame) -> DataFrame:
+    """Per file with any: how many stored values it shows, and whether an address."""
+    return found.groupBy("file").agg(F.count_distinct("term").alias("terms"), F.max("email").alias("email"))
 
 
 def workload(items: DataFrame) -> DataFrame:

@@ -74,12 +74,25 @@ def stratified_sample(spark, sf):
     return A.stratified(V.applications(spark, sf), "current_status", "id", 20, 7).groupBy("current_status").agg(F.count("*").alias("sampled"))
 
 
-@query("""WITH w AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_#@.-]+)', 1)) AS word FROM conversations), t AS (SELECT DISTINCT lower(word) AS term FROM (SELECT unnest(regexp_extract_all(text, '([\\p{L}\\p{N}_#@.-]+)', 1)) AS word FROM benchmark) WHERE len(word) >= 4 AND NOT regexp_full_match(word, '[0-9]+'))
-SELECT CAST(conv_id AS VARCHAR) AS file, count(*) AS terms FROM w JOIN t ON word = term GROUP BY 1""")
+BENIGN = [*STATUSES, "version", "license"]
+PHRASE = r"([\p{L}\p{N}_#@.-]+ [\p{L}\p{N}_#@.-]+|[\p{L}\p{N}_#@.-]+)"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT lower(term) AS term FROM (SELECT unnest(regexp_extract_all(text, '{PHRASE}', 1)) AS term FROM benchmark) WHERE len(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+') AND lower(term) NOT IN ({", ".join(f"'{b.lower()}'" for b in BENIGN)})),
+hits AS (SELECT DISTINCT conv_id, term FROM conversations JOIN t ON contains(lower(text), term)), mails AS (SELECT DISTINCT conv_id FROM conversations WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'))
+SELECT coalesce(h.conv_id, m.conv_id) AS file, coalesce(n, 0) AS terms, m.conv_id IS NOT NULL AS email FROM (SELECT conv_id, count(*) AS n FROM hits GROUP BY 1) h FULL JOIN mails m ON h.conv_id = m.conv_id""")
 def leak_scan(spark, sf):
-    texts = V.read(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("file")).agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
-    terms = V.read(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_#@.-]+)"), 1)).alias("term")).distinct()
-    return A.leaks(texts, terms).groupBy("file").agg(F.count("*").alias("terms"))
+    """Words and pairs of words of the benchmark that conversations show, at any place."""
+    texts = V.read(spark, sf, "conversations").select(F.col("conv_id").alias("file"), "text")
+    terms = V.read(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(PHRASE), 1)).alias("term"))
+    return A.leak_report(A.leaks(texts, terms, BENIGN))
+
+
+@query("""SELECT length(term) AS length, count(*) AS terms FROM (SELECT DISTINCT trim(term) AS term FROM (SELECT company AS term FROM application UNION ALL SELECT role FROM application UNION ALL SELECT job_url FROM application
+UNION ALL SELECT sender FROM evidence UNION ALL SELECT external_id FROM evidence)) WHERE length(term) >= 4 GROUP BY 1""")
+def private_terms(spark, sf):
+    tables = [(V.applications(spark, sf), ["company", "role", "job_url"]), (V.evidence(spark, sf), ["sender", "external_id"])]
+    return A.stored_terms(tables).groupBy(F.length("term").alias("length")).agg(F.count("*").alias("terms"))
 
 
 @query("SELECT 'evidence:' || coalesce(link_method, 'none') AS queue, count(*) AS n FROM evidence WHERE status = 'needs_review' GROUP BY 1 UNION ALL SELECT 'observation:' || source_key, count(*) FROM observation WHERE decision = 'needs_review' GROUP BY 1")
