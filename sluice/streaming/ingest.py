@@ -12,14 +12,22 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluice.config import TRANSITIONS
+from sluice.sources.mailbox import Mailbox
 
 
 def files(spark: SparkSession, path: str, schema: str, per_batch: int = 100) -> DataFrame:
-    """Landed JSON files as a stream; the checkpoint is the cursor. Where a cursor has
-    expired, start anew from a batch snapshot: the ledger keeps that idempotent."""
+    """Landed JSON files as a stream; the checkpoint is the cursor."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(path)
 
 
+def mail(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """Each message of a landed mailbox once: its history since the cursor, or its listing where
+    the cursor has expired (sources.mailbox), through the ledger of message ids."""
+    spark.dataSource.register(Mailbox)
+    reader = spark.readStream.format("mailbox")
+    return deduplicated((reader.option("since", since) if since else reader).load(path))
+
+
 def deduplicated(messages: DataFrame, key: str = "message_id", time: str | None = None, delay: str = "30 days") -> DataFrame:
     """Each message once: over all time, or within a watermark where time is given, which
     bounds the state."""
