@@ -6,10 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from sluice.config import TRANSITIONS
 from sluice.sources.mailbox import Mailbox
@@ -73,3 +75,52 @@ def into_versions(stream: DataFrame, root: str, checkpoint: str, step: Callable[
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+#: Where a batch that is complete is written down, under a root of tables.
+COMPLETE = "_complete"
+
+
+def last_complete(spark: SparkSession, root: str) -> int:
+    """The last batch all of whose outputs are there, or -1."""
+    try:
+        done = spark.read.schema("number long").json(f"{root}/{COMPLETE}")
+        return done.agg(F.coalesce(F.max("number"), F.lit(-1))).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return -1
+        raise
+
+
+def rows_of(spark: SparkSession, root: str, name: str, schema: StructType | str, until: int | None = None) -> DataFrame:
+    """The rows of a table's complete batches, with the column `batch`. What a batch that failed
+    has written isn't read, and what a later one writes isn't either."""
+    last = last_complete(spark, root) if until is None else until
+    known = [f"{root}/{name}/batch={n:010d}" for n in range(last + 1)]
+    whole = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    if not known:
+        return spark.createDataFrame([], StructType([*whole.fields]).add("batch", "long"))
+    return spark.read.schema(whole).option("basePath", f"{root}/{name}").option("ignoreMissingFiles", True).parquet(*known).withColumn("batch", F.col("batch").cast("long"))
+
+
+def current(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """A table as the complete batches left it: the last row of each key, or else the base's."""
+    newest = changes.groupBy(key).agg(F.max_by(F.struct(*base.columns), "batch").alias("r")).select("r.*")
+    return base.join(newest.select(key), key, "left_anti").unionByName(newest)
+
+
+def into_tables(stream: DataFrame, root: str, checkpoint: str, step: Callable[[DataFrame, int], dict[str, DataFrame]]) -> StreamingQuery:
+    """One step of several outputs: each micro-batch gives rows of several tables, each written to
+    the batch's own directory in place of what a failed attempt left; when all are there the batch is
+    written down as complete. Readers (`rows_of`) stop at the last complete batch, so they see all
+    outputs of a batch or none, and a batch that runs again after a failure counts once."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        if number <= last_complete(spark, root):
+            return  # all outputs are there: only the stream's own mark was lost
+        for name, rows in step(batch, number).items():
+            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={number:010d}")
+        spark.range(1).select(F.lit(number).alias("number")).coalesce(1).write.mode("overwrite").json(f"{root}/{COMPLETE}/batch={number:010d}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
