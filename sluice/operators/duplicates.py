@@ -206,9 +206,10 @@ def class_links(known: DataFrame, keys: list[str], thresholds: Thresholds) -> Da
 def links(known: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """(lo, hi) that join the same groups as all candidate_pairs, without making all pairs."""
     checkpoint_dir(known.sparkSession)
+    known = known.checkpoint()  # three ways read it, and links are read twice
     named = WEIGHTS["company_exact"] + WEIGHTS["role_exact"] + WEIGHTS["date_in_window"] >= thresholds.duplicate
     by_keys = class_links(known, ["job_id", "source"], thresholds).unionByName(class_links(known, ["url"], thresholds))
-    return (by_keys.unionByName(text_links(known)) if named else by_keys).distinct()
+    return (by_keys.unionByName(text_links(known)) if named else by_keys).distinct().checkpoint()
 
 
 def group_features(members: DataFrame, known: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ thread_ids. Links: application_id, human_senders, resolver_senders, domains."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +57,20 @@ def candidates(messages: DataFrame, applications: DataFrame, links: DataFrame, t
     return once.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= MAX_CANDIDATES).select("evidence_id", "id", *([F.col("at.tier").alias("tier")] if tiers else []))
 
 
-def _has(array: str, value: str) -> Column:
-    return F.coalesce(F.array_contains(F.col(array), F.col(value)), F.lit(False))
+def _related(pairs: DataFrame, one: str, other: str, relation: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """pairs with the relation of two names. Names that differ are compared once, however
+    many pairs have them: only their distinct pairs go through Python."""
+    x, y = F.col(one), F.col(other)
+    apart = (x != "") & (y != "") & (x != y)
+    known = pairs.filter(apart).select(x.alias("_x"), y.alias("_y")).distinct().withColumn(name, relation(F.col("_x"), F.col("_y")))
+    same = F.when((x == y) & (x != ""), "exact")
+    joined = pairs.withColumns({"_x": F.when(apart, x), "_y": F.when(apart, y)}).join(known, ["_x", "_y"], "left")
+    return joined.withColumn(name, F.coalesce(same, name)).drop("_x", "_y")
 
 
 def scored(messages: DataFrame, applications: DataFrame, links: DataFrame) -> DataFrame:
-    """(evidence_id, id, score, signals): signals are struct(name, weight). A job id's source
+    """(evidence_id, id, score, signals, bits): signals are struct(name, weight), bits the same
+    as a number, for those who don't read the names. A job id's source
     is that of its URL; a message's source is compared with the portal's."""
     portal = "portal" if "portal" in applications.columns else "source"
     m, a = messages.alias("m"), applications.alias("a")
@@ -67,7 +78,9 @@ def scored(messages: DataFrame, applications: DataFrame, links: DataFrame) -> Da
     f = lambda side, c: F.col(f"{side}.{c}")
     open_here = (f("m", "company") != "") & (f("m", "company") == f("a", "company")) & ~f("a", "current_status").isin(CLOSED)
     pairs = pairs.withColumn("sole", open_here & (F.count_if(open_here).over(Window.partitionBy("evidence_id")) == 1))
-    pairs = pairs.withColumns({"c": fuzzy.company_relation(f("m", "company"), f("a", "company")), "r": fuzzy.role_relation(f("m", "role"), f("a", "role"))})
+    mine = ["m_company", "a_company", "m_role", "a_role"]
+    pairs = pairs.withColumns({n: f(*n.split("_")) for n in mine})
+    pairs = _related(_related(pairs, "m_company", "a_company", fuzzy.company_relation, "c"), "m_role", "a_role", fuzzy.role_relation, "r")
     thread = F.coalesce(F.array_contains(f("a", "thread_ids"), f("m", "thread_id")), F.lit(False))
     both_ids = f("m", "job_id").isNotNull() & f("a", "job_id").isNotNull()
     same_source, same_id = F.coalesce(f("m", "job_source"), f("m", "source")) == f("a", "source"), f("m", "job_id") == f("a", "job_id")
@@ -100,27 +113,41 @@ def scored(messages: DataFrame, applications: DataFrame, links: DataFrame) -> Da
         ("source_match", ~f("m", "source").isin("other", "gmail") & (f("m", "source") == f("a", portal))),
         ("terminal_application_new_acknowledgement", f("a", "current_status").isin(CLOSED) & (f("m", "kind") == "acknowledgement")),
     ]
-    signals = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(name).alias("name"), F.lit(WEIGHTS[name]).alias("weight"))) for name, hit in rules]))
-    found = pairs.select("evidence_id", "id", signals.alias("signals"))
-    return found.withColumn("score", F.aggregate("signals", F.lit(0), lambda t, s: t + s["weight"]))
+    assert [name for name, _ in rules] == RULES
+    hits = [F.coalesce(hit, F.lit(False)) for _, hit in rules]
+    signals = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(name).alias("name"), F.lit(WEIGHTS[name]).alias("weight"))) for name, hit in zip(RULES, hits)]))
+    score = reduce(Column.__add__, [F.when(hit, WEIGHTS[name]).otherwise(0) for name, hit in zip(RULES, hits)])
+    bits = reduce(Column.__add__, [F.when(hit, 1 << k).otherwise(0) for k, hit in enumerate(hits)])
+    return pairs.select("evidence_id", "id", signals.alias("signals"), score.alias("score"), bits.alias("bits"))
+
+
+#: Signals in the order of their rules; a bit of `bits` each.
+RULES = [
+    "same_gmail_thread", "same_external_job_id", "same_external_job_id_other_source", "external_job_id_conflict", "same_canonical_job_url", "job_url_differs", "sender_linked_by_human", "sender_linked_by_resolver",
+    "known_company_domain", "company_exact", "company_similar", "text_mismatch_in_thread", "company_conflict", "role_exact", "role_similar", "text_mismatch_in_thread", "role_conflict",
+    "sole_active_application_at_company", "date_in_window", "date_out_of_window", "source_match", "terminal_application_new_acknowledgement",
+]
+
+
+def _has(bits: Column, *names: str) -> Column:
+    return F.coalesce(bits.bitwiseAND(F.lit(sum(1 << k for k, name in enumerate(RULES) if name in names))) != 0, F.lit(False))
 
 
 def resolve(messages: DataFrame, applications: DataFrame, links: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """(evidence_id, outcome, reason, application_id, confidence, link_method,
     candidates): outcome is linked, new_application or review."""
     one = scored(messages, applications, links)
-    names = F.transform("signals", lambda s: s["name"])
-    entry = F.struct((-F.col("score")).alias("minus"), F.col("id"), F.arrays_overlap(names, F.array(*map(F.lit, STRONG))).alias("strong"), names.alias("names"))
+    entry = F.struct((-F.col("score")).alias("minus"), F.col("id"), _has(F.col("bits"), *STRONG).alias("strong"), F.col("bits"))
     ranked = one.groupBy("evidence_id").agg(F.sort_array(F.collect_list(entry)).alias("c"))  # at most MAX_CANDIDATES
     all_ = messages.join(ranked, "evidence_id", "left").withColumn("c", F.coalesce("c", F.array().cast(ranked.schema["c"].dataType)))
     best, second = F.get("c", 0), F.get("c", 1)
-    has = lambda e, *ns: F.coalesce(F.arrays_overlap(e["names"], F.array(*map(F.lit, ns))), F.lit(False))
+    has = lambda e, *ns: _has(e["bits"], *ns)
     known = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     score, lead = -best["minus"], F.coalesce(second["minus"] - best["minus"], F.lit(1 << 20))
     strong = F.size(F.filter("c", lambda e: e["strong"]))
     identity = known("company") | known("role") | known("url") | known("job_id") | known("sender") | known("domain") | known("thread_id")
     credible = (F.col("kind") == "acknowledgement") & ~F.col("forwarded") & known("company") & ~F.col("freemail") & (F.col("confident") | known("domain"))
-    again = F.exists("c", lambda e: F.array_contains(e["names"], "company_exact") & F.arrays_overlap(e["names"], F.array(F.lit("role_exact"), F.lit("role_similar"))))
+    again = F.exists("c", lambda e: has(e, "company_exact") & has(e, "role_exact", "role_similar"))
     auto = best.isNotNull() & (score >= thresholds.auto_link) & (lead >= thresholds.margin)
     held = best.isNotNull() & (score >= thresholds.review)
     reason = (

@@ -8,8 +8,6 @@ from sluice import views as V
 from sluice.config import EVIDENCE_STATUSES, STATUSES
 from sluice.operators import audits as A
 from sluice.operators import duplicates as D
-from sluice.operators.components import groups
-from sluice.plans.duplicates import FEATURES
 from sluice.plans.insights import AS_OF, SEEN
 from sluice.plans.registry import query
 
@@ -111,14 +109,6 @@ def review_plan(spark, sf):
     return A.review_plan([e, o]).groupBy("kind", "category").agg(F.count("*").alias("n"))
 
 
-@query(FEATURES + """SELECT CASE WHEN urls > 1 OR size > 20 THEN 'do_not_merge_strong_conflict' WHEN min_score < 70 THEN 'insufficient_evidence' WHEN min_score >= 80 AND roles <= 1 AND days <= 180 THEN 'high_confidence_review'
-  ELSE 'medium_confidence_review' END AS category, count(*) AS groups, CAST(sum(size) AS BIGINT) AS applications FROM features GROUP BY 1""")
-def duplicate_categories(spark, sf):
-    known = D.identity(V.applications(spark, sf), ascii_only=True)
-    found = D.group_features(groups(D.links(known), "lo", "hi"), known)
-    return found.groupBy(A.group_category().alias("category")).agg(F.count("*").alias("groups"), F.sum("size").alias("applications"))
-
-
 @query("SELECT source, date_diff('minute', max(occurred_at), TIMESTAMP '2024-01-31') <= 1440 AS fresh FROM evidence GROUP BY 1")
 def source_freshness(spark, sf):
     return A.freshness(V.evidence(spark, sf), V.EVENTS_AS_OF, 1440)
