@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice import views as V
 from sluice.plans.registry import query
-from sluice.sources import mail, observations, rules, tables
+from sluice.sources import mail, observations, pastes, rules, tables
 
 RULES = [{"portal": "mail0", "domains": ["mail0.example.com"], "subjects": ["click"]}, {"portal": "any", "domains": ["example.com"]}, {"portal": "fallback", "subjects": ["purchase"]}]
 
@@ -51,15 +52,24 @@ def observation_checks(spark, sf):
     return rows.agg(F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("not_json"))
 
 
-@query("SELECT o_orderkey AS paste_id, c_name AS company, o_orderpriority AS role, strftime(o_orderdate, '%Y-%m-%d') AS applied_on FROM orders JOIN customer ON c_custkey = o_custkey")
+@query(f"""SELECT o_orderkey AS paste_id, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE c_name END AS company, CASE o_orderkey % 4 WHEN 2 THEN 'Clerk' ELSE o_orderpriority END AS role,
+  CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE strftime(DATE '{V.AS_OF}' - CAST(o_orderkey % 9 + 1 AS INTEGER) * CASE o_orderkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 1 ELSE 30 END, '%Y-%m-%d') END AS applied_on FROM orders JOIN customer ON c_custkey = o_custkey""")
 def pasted_entries(spark, sf):
+    """Each order as it would be pasted, in four layouts, between noise, places and blank lines."""
     a = V.read(spark, sf, "orders").join(V.read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    text = F.concat_ws("\n", F.lit(""), "o_orderpriority", F.concat(F.lit("• "), "c_name", F.lit(" · Pune")), F.lit("  "), F.concat(F.lit("Applied on "), F.date_format("o_orderdate", "d MMM yyyy")))
-    found = tables.pasted(a.select(F.col("o_orderkey").alias("paste_id"), text.alias("text")), F.lit(V.AS_OF).cast("date"))
+    n = F.concat(F.lit("Applied "), (V.mod("o_orderkey", 9) + 1).cast("string"))
+    lines = lambda *parts: F.concat_ws("\n", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    layouts = [
+        lines("", F.concat("c_name", F.lit(" Ltd.")), "", F.col("o_orderpriority"), "Add note", "Pune, India", F.concat(n, F.lit("w ago"))),
+        lines("Easy Apply", F.col("o_orderpriority"), F.concat(F.lit("Remote · "), "c_name", F.lit(" · Pune")), F.concat(n, F.lit(" days ago"))),
+        lines(F.concat(F.lit("Clerk at "), "c_name"), "(Reposted 1w ago)", F.concat(n, F.lit("mo ago"))),
+        lines("  ", F.col("o_orderpriority"), "12 applicants", "Archived"),
+    ]
+    found = pastes.pasted(a.select(F.col("o_orderkey").alias("paste_id"), F.coalesce(*[F.when(V.mod("o_orderkey", 4) == k, t) for k, t in enumerate(layouts)]).alias("text")), F.lit(V.AS_OF).cast("date"))
     return found.select("paste_id", "company", "role", F.date_format("applied_on", "yyyy-MM-dd").alias("applied_on"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Offer' WHEN 1 THEN 'Applied' ELSE 'Rejected' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'Unknown' ELSE c_mktsegment END AS portal, strftime(o_orderdate, '%Y-%m-%d') AS applied_on FROM orders JOIN customer ON c_custkey = o_custkey")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Offer' WHEN 1 THEN 'Applied' ELSE 'Rejected' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'Direct/Consultancy' ELSE c_mktsegment END AS portal, strftime(o_orderdate, '%Y-%m-%d') AS applied_on FROM orders JOIN customer ON c_custkey = o_custkey")
 def sheet_rows(spark, sf):
     a = V.read(spark, sf, "orders").join(V.read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     rows = a.select(F.col("o_orderkey").cast("string").alias("company"), F.lit("x").alias("role"), F.when(V.mod("o_orderkey", 2) == 1, F.col("c_mktsegment")).alias("portal"), V.choose(V.mod("o_orderkey", 3), [" OFFER", "whatever", "rejected"]).alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("applied"))

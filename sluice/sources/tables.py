@@ -5,42 +5,30 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import applied_on
-
 # How a sheet's own words map to statuses.
 SHEET_STATUS = {"applied": "Applied", "shortlisted": "Resume Shortlisted", "interview": "Interview Scheduled", "in progress": "Interview In Progress", "offer": "Offer", "joined": "Joined", "rejected": "Rejected", "withdrawn": "Withdrawn"}
 
+# The portal of a row that names none.
+NO_PORTAL = "Direct/Consultancy"
+
 
 def sheet(rows: DataFrame) -> DataFrame:
     """Rows of a sheet as text (company, role, portal, status, applied): unknown statuses
-    are Applied, a missing portal is Unknown, dates are ISO or day/month/year. Rows of
-    which the date can't be read have it null."""
+    are Applied, a missing portal has a name of its own. A date is a cell's time or ISO; a row
+    of which it can't be read is an error, as an application without its date would be lost in every
+    report."""
     known = F.create_map(*[F.lit(x) for pair in SHEET_STATUS.items() for x in pair])
-    when = F.coalesce(F.try_to_timestamp("applied", F.lit("yyyy-MM-dd")), F.try_to_timestamp("applied", F.lit("dd/MM/yyyy")), F.try_to_timestamp("applied", F.lit("d MMM yyyy"))).cast("date")
+    when = F.coalesce(*[F.try_to_timestamp(F.col("applied"), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")]).cast("date")
+    wrong = F.raise_error(F.concat(F.lit("no applied date can be read from: "), F.coalesce("applied", F.lit("nothing")))).cast("date")
     return rows.filter(F.trim(F.coalesce("company", F.lit(""))) != "").select(
-        F.trim("company").alias("company"), F.nullif(F.trim("role"), F.lit("")).alias("role"), F.coalesce(F.nullif(F.trim("portal"), F.lit("")), F.lit("Unknown")).alias("portal"),
-        F.coalesce(known[F.lower(F.trim("status"))], F.lit("Applied")).alias("status"), when.alias("applied_on"),
+        F.trim("company").alias("company"), F.nullif(F.trim("role"), F.lit("")).alias("role"), F.coalesce(F.nullif(F.trim("portal"), F.lit("")), F.lit(NO_PORTAL)).alias("portal"),
+        F.coalesce(known[F.lower(F.trim("status"))], F.lit("Applied")).alias("status"), F.coalesce(when, wrong).alias("applied_on"),
     )
 
 
-def pasted(texts: DataFrame, today: Column, key: str = "paste_id", column: str = "text") -> DataFrame:
-    """Entries of pasted lists: (key, n, company, role, applied_on). A line that starts
-    with 'Applied' ends an entry; of its lines the first is the role, the second the
-    company, which may be 'Company · Location' or '• Company'. Lines without content
-    don't count."""
-    lines = texts.select(key, F.posexplode(F.split(column, r"\r?\n")).alias("pos", "line")).select(key, "pos", F.trim("line").alias("line")).filter("line <> ''")
-    end = F.col("line").rlike("(?i)^applied\\b")
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    marked = lines.withColumn("n", F.coalesce(F.sum(end.cast("int")).over(before), F.lit(0)))
-    of = marked.groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"), F.max(F.when(end, F.col("line"))).alias("last"))
-    line = lambda i: F.get("l", i)["line"]
-    company = F.trim(F.regexp_replace(F.regexp_replace(line(1), "^[•·] *", ""), " *[·•].*$", ""))
-    return of.filter("last IS NOT NULL AND size(l) >= 3").select(key, "n", company.alias("company"), line(0).alias("role"), applied_on(F.col("last"), today).alias("applied_on"))
-
-
 class _Links(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
