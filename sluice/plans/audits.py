@@ -28,9 +28,10 @@ def changed_rows(spark, sf):
 
 
 @query(r"""WITH a AS (SELECT * FROM application WHERE record_state = 'active') SELECT count(*) AS active_applications, count(*) FILTER (trim(role) = '') AS empty_role, count(*) FILTER (len(role) > 70 OR regexp_matches(lower(role), '\b(hi|hello|dear|thank|thanks|thank you|your|you|we|our|availability|interest|regarding|please)\b')) AS sentence_like_role, count(*) FILTER (len(thread_ids) = 0) AS without_thread,
-  count(job_url) AS with_job_url, (SELECT count(*) FROM (SELECT t FROM (SELECT DISTINCT id, unnest(thread_ids) AS t FROM a) GROUP BY t HAVING count(*) > 1)) AS shared_threads FROM a""")
+  count(job_url) AS with_job_url, (SELECT count(*) FROM (SELECT t FROM (SELECT DISTINCT id, unnest(thread_ids) AS t FROM a) GROUP BY t HAVING count(*) > 1)) AS shared_threads,
+  count(*) FILTER (regexp_matches(lower(job_url), '[?&](gh_jid=\d{5,}|jk=[0-9a-f]{12,20}|currentjobid=\d{6,})|linkedin\.com/jobs/view/|lever\.co/|greenhouse\.io/|naukri\.com/')) AS with_external_job_id FROM a""")
 def data_quality(spark, sf):
-    return A.data_quality(V.applications(spark, sf)).drop("with_external_job_id")  # its URL parsing has no SQL
+    return A.data_quality(V.applications(spark, sf))
 
 
 @query("SELECT 'application' AS what, current_status AS value, count(*) AS n FROM application WHERE current_status NOT IN ('Applied') GROUP BY 2 UNION ALL SELECT 'evidence', status, count(*) FROM evidence WHERE status = 'failed' GROUP BY 2")
