@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice import views as V
 from sluice.plans.registry import query
-from sluice.sources import mail, observations, pastes, rules, tables
+from sluice.sources import batches, mail, observations, pastes, rules, tables
 
 RULES = [{"portal": "mail0", "domains": ["mail0.example.com"], "subjects": ["click"]}, {"portal": "any", "domains": ["example.com"]}, {"portal": "fallback", "subjects": ["purchase"]}]
 
@@ -52,6 +52,18 @@ def observation_checks(spark, sf):
     return rows.agg(F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("not_json"))
 
 
+@query("""WITH o AS (SELECT id // 8 AS line, id % 10 = 0 AS more, count(*) OVER (PARTITION BY id // 8, source_key, item_key) > 1 AS doubled FROM observation)
+SELECT max(more OR doubled) OVER (PARTITION BY line) AS refused, concat_ws(', ', CASE WHEN more THEN 'more fields' END, CASE WHEN doubled THEN 'a doubled id' END) AS reasons FROM o""".replace("SELECT max", "SELECT refused, reasons, count(*) AS n FROM (SELECT max") + ") GROUP BY 1, 2")
+def strict_batches(spark, sf):
+    """The sightings of an order as a batch; some say more than the contract names."""
+    o = V.observations(spark, sf)
+    said = [F.col("source_key"), F.col("item_key").alias("source_item_id"), F.lit("Acme").alias("company"), F.lit("applied").alias("status"), F.lit(True).alias("proves_submission"), F.lit("verified").alias("extraction"), F.lit("2001-07-31T10:00:00Z").alias("observed_at"), F.lit("1.0").alias("adapter_version")]
+    row = F.to_json(F.struct(*said, F.when(F.pmod("id", F.lit(10)) == 0, "x").alias("note")))
+    head = '{"batch_key": "batch-0001", "sent_at": "2001-08-01T00:00:00Z", "observations": ['
+    lines = o.groupBy(F.floor(F.col("id") / 8).alias("order")).agg(F.concat(F.lit(head), F.array_join(F.collect_list(row), ","), F.lit("]}")).alias("value"))  # an order has a few lines
+    return batches.read(lines, f"{V.AS_OF} 00:00:00").groupBy("refused", F.array_join("problems", ", ").alias("reasons")).agg(F.count("*").alias("n"))
+
+
 @query(f"""SELECT o_orderkey AS paste_id, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE c_name END AS company, CASE o_orderkey % 4 WHEN 2 THEN 'Clerk' ELSE o_orderpriority END AS role,
   CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE strftime(DATE '{V.AS_OF}' - CAST(o_orderkey % 9 + 1 AS INTEGER) * CASE o_orderkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 1 ELSE 30 END, '%Y-%m-%d') END AS applied_on FROM orders JOIN customer ON c_custkey = o_custkey""")
 def pasted_entries(spark, sf):

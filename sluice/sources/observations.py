@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 SCHEMA = "source_key string, source_item_id string, company string, role string, applied_on date, status string, job_url string, proves_submission boolean, observed_at timestamp, _corrupt_record string"
 # What a collector may say of an application.
-STATUSES = ["applied", "viewed", "shortlisted", "interview_scheduled", "interviewed", "offer", "rejected", "withdrawn", "closed", "unknown"]
-SOURCES = ["linkedin", "indeed", "naukri", "instahyre", "hirist", "iimjobs", "wellfound"]
+STATUSES = ["applied", "viewed", "in_review", "shortlisted", "interview", "offer", "rejected", "withdrawn", "closed", "unknown"]
+SOURCES = ["linkedin", "naukri", "indeed", "instahyre", "careernet"]
+SOURCE = "^employer-[a-z0-9][a-z0-9-]{1,38}$"
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -23,7 +24,7 @@ def problems(as_of: str) -> Column:
     at = F.col("observed_at")
     checks = {
         "not an object": F.col("_corrupt_record").isNotNull(),
-        "no source": F.col("source_key").isNull() | ~(F.col("source_key").isin(SOURCES) | F.col("source_key").rlike("^employer:[a-z0-9-]{1,64}$")),
+        "no source": F.col("source_key").isNull() | ~(F.col("source_key").isin(SOURCES) | F.col("source_key").rlike(SOURCE)),
         "no company": F.trim(F.coalesce("company", F.lit(""))) == "",
         "unknown status": F.col("status").isNull() | ~F.col("status").isin(STATUSES),
         "applied after it was seen": F.col("applied_on") > F.to_date(at),

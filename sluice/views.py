@@ -169,7 +169,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
         mod("l_suppkey", 20).alias("run_id"),
         F.concat(F.lit("item-"), F.col("l_partkey").cast("string")).alias("item_key"),
-        choose(mod("l_suppkey", 4), ["linkedin", "indeed", "naukri", "employer:acme"]).alias("source_key"),
+        choose(mod("l_suppkey", 4), ["linkedin", "indeed", "naukri", "employer-acme"]).alias("source_key"),
         F.col("l_returnflag").alias("status"),
         F.col("l_shipdate").alias("observed_at"),
         choose(mod("l_linenumber", 4), ["linked", "created", "needs_review", "unchanged"]).alias("decision"),
@@ -179,7 +179,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBSERVATION_SQL = """observation AS (
   SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey % 20 AS run_id, 'item-' || l_partkey AS item_key,
-    CASE l_suppkey % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed' WHEN 2 THEN 'naukri' ELSE 'employer:acme' END AS source_key,
+    CASE l_suppkey % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed' WHEN 2 THEN 'naukri' ELSE 'employer-acme' END AS source_key,
     l_returnflag AS status, l_shipdate AS observed_at, CASE l_linenumber % 4 WHEN 0 THEN 'linked' WHEN 1 THEN 'created' WHEN 2 THEN 'needs_review' ELSE 'unchanged' END AS decision,
     CASE WHEN l_linenumber % 4 <> 3 THEN l_orderkey END AS evidence_id
   FROM lineitem)"""
