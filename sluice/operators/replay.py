@@ -288,7 +288,7 @@ class Replaying(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getMapState("touched", "id long", "application string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = []
         for _, (text,) in self.kept.iterator():
             a = json.loads(text)
