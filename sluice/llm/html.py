@@ -25,11 +25,13 @@ Rules
   own, paragraphs, headings, lists, tables, pre, blockquote, figure and the like between
   blank lines; at most one blank line in a row.
 - Lists: "- " or the number (start, value, reversed), nested lists two columns further
-  in. dd is two columns further in. An image shows its alt text.
+  in. dd and quotes are two columns further in; from INDENT columns on deeper levels stand
+  where theirs does. An image shows its alt text.
 - Tables: a line per line of cells, columns padded to the widest cell and set apart by
   " | "; colspan and rowspan hold their places (up to 1,000 columns and 65,534 rows, as
   the standard has it); captions come first. A line wider than WIDE doesn't widen its
-  column, but pushes what follows it. A table within a cell is rendered within it; one
+  column, but pushes what follows it. Past ALIGNED columns with content cells aren't
+  padded, and those without content leave no gap. A table within a cell is rendered within it; one
   within NESTED tables puts its cells below each other.
 
 Null and empty pages give an empty text; other columns are ignored, repeated rows give
@@ -53,6 +55,9 @@ from pyspark.sql import DataFrame
 
 NESTED = 32
 WIDE = 400
+#: Columns that lists and quotes are set in at most, and columns of a table that are aligned.
+INDENT = 80
+ALIGNED = 1000
 GAP = " | "
 # What the HTML standard says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -432,9 +437,9 @@ def render(element: Element, seen: bool = True, level: int = 0) -> list[str]:
                 todo.append(("out", (name if not (name in LISTS and page.indent) else "", page.indent), pre, seen))
                 if name == "li":
                     page.marker = mark if seen else ""
-                    page.indent += len(mark)
+                    page.indent = min(page.indent + len(mark), max(page.indent, INDENT))
                 elif name in ("dd", "blockquote"):
-                    page.indent += 2
+                    page.indent = min(page.indent + 2, max(page.indent, INDENT))
                 todo.append(("in", child, pre or name == "pre", seen))
                 if name == "pre" and child.children and isinstance(child.children[0], str):
                     child.children[0] = child.children[0].removeprefix("\r").removeprefix("\n")
@@ -454,6 +459,38 @@ def widest(lines: list[str]) -> int:
     return max((w for w in map(width, lines) if w <= WIDE), default=0)
 
 
+Held = tuple[int, int, int]  # from a column to a column, until a row
+
+
+def covered(held: list[Held], new: list[Held]) -> list[Held]:
+    """held where the new intervals don't cover it, and these: both in order and apart, as is
+    the result, in which neighbours that end in the same row are one."""
+    out: list[Held] = []
+
+    def put(a: int, b: int, until: int) -> None:
+        if out and out[-1][1] == a and out[-1][2] == until:
+            out[-1] = (out[-1][0], b, until)
+        elif a < b:
+            out.append((a, b, until))
+
+    k = 0
+    for a, b, until in held:
+        while k < len(new) and new[k][1] <= a:
+            put(*new[k])
+            k += 1
+        while k < len(new) and new[k][0] < b:
+            put(a, min(new[k][0], b), until)
+            a = max(a, new[k][1])
+            if new[k][1] > b:
+                break
+            put(*new[k])
+            k += 1
+        put(a, b, until)
+    for one in new[k:]:
+        put(*one)
+    return out
+
+
 def table_lines(table: Element, seen: bool, level: int) -> list[str]:
     """A table as lines: cells aligned by column."""
     out: list[str] = []
@@ -485,46 +522,49 @@ def table_lines(table: Element, seen: bool, level: int) -> list[str]:
         out += render(loose, seen, level)
     grid: list[dict[int, list[str]]] = []
     spans: list[tuple[int, int, int, list[str]]] = []  # row, column, columns, lines
-    taken: dict[int, int] = {}  # column: rows that a cell above still holds
-    for tr, above in [*head, *rows, *foot]:
-        if not shown(tr):
-            continue
+    shown_rows = [(tr, above) for tr, above in [*head, *rows, *foot] if shown(tr)]
+    held: list[Held] = []  # what cells of the rows above still hold, in order
+    for tr, above in shown_rows:
         across = seen_in("tr", tr.attributes, above)
         row: dict[int, list[str]] = {}
-        column, now = 0, {c: n for c, n in taken.items() if n > 0}
-        taken = {c: n - 1 for c, n in now.items()}
+        here = len(grid)
+        if any(until <= here for _, _, until in held):
+            held = [h for h in held if h[2] > here]
+        column = at = 0
+        tall_ones: list[Held] = []
         stray = Element("div", {})
         for cell in tr.children:
             if isinstance(cell, str) or cell.name not in ("td", "th"):
                 if not isinstance(cell, str) or cell.strip():
                     stray.children.append(cell)
                 continue
-            while now.get(column, 0) > 0:
-                column += 1
+            while at < len(held) and held[at][0] <= column:
+                column = max(column, held[at][1])
+                at += 1
             wide, tall = cell.number("colspan", 1), cell.number("rowspan", 1, 0, 65534) or 65534
             lines = render(cell, seen_in(cell.name, cell.attributes, across), level) if shown(cell) else []
             if wide == 1:
                 row[column] = lines
             else:
-                spans.append((len(grid), column, wide, lines))
-            for c in range(column, column + wide):
-                if tall > 1:
-                    taken[c] = tall - 1
+                spans.append((here, column, wide, lines))
+            if tall > 1:
+                tall_ones.append((column, column + wide, min(here + tall, len(shown_rows))))
             column += wide
+        if tall_ones:
+            held = covered(held, tall_ones)
         if stray.children:
             out += render(stray, across, level)
         grid.append(row)
-    columns = max([c + 1 for row in grid for c in row] + [c + w for _, c, w, _ in spans] + [0])
-    size = [0] * columns
+    size: dict[int, int] = {}
     for row in grid:
         for c, lines in row.items():
-            size[c] = max(size[c], widest(lines))
+            size[c] = max(size.get(c, 0), widest(lines))
     used = sorted({c for row in grid for c, lines in row.items() if lines} | {c for _, c, _, lines in spans if lines})
     for _, c, w, lines in spans:
         inside = used[bisect_left(used, c) : bisect_left(used, c + w)]
-        room = sum(size[k] for k in inside) + len(GAP) * (len(inside) - 1)
+        room = sum(size.get(k, 0) for k in inside) + len(GAP) * (len(inside) - 1)
         if inside and (need := widest(lines)) > room:
-            size[inside[-1]] += need - room
+            size[inside[-1]] = size.get(inside[-1], 0) + need - room
     by_row: dict[int, dict[int, tuple[int, list[str]]]] = {}
     for r, c, w, lines in spans:
         by_row.setdefault(r, {})[c] = (w, lines)
@@ -533,14 +573,15 @@ def table_lines(table: Element, seen: bool, level: int) -> list[str]:
         for k in range(max((len(lines) for _, lines in cells.values()), default=0)):
             parts: list[str] = []
             c = 0
-            while c < len(used):
-                column = used[c]
-                w, lines = cells.get(column, (1, []))
-                inside = used[c : bisect_left(used, column + w)]
-                room = sum(size[x] for x in inside) + len(GAP) * (len(inside) - 1)
+            while c < min(len(used), ALIGNED):
+                w, lines = cells.get(used[c], (1, []))
+                inside = used[c : bisect_left(used, used[c] + w)]
+                room = sum(size.get(x, 0) for x in inside) + len(GAP) * (len(inside) - 1)
                 piece = lines[k] if k < len(lines) else ""
                 parts.append(piece + " " * (room - width(piece)))
                 c += len(inside)
+            if len(used) > c:
+                parts += [lines[k] for column, (_, lines) in sorted(cells.items()) if column >= used[c] and k < len(lines)]
             while parts and not parts[-1].strip():
                 parts.pop()
             out.append(GAP.join(parts).rstrip())

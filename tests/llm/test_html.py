@@ -122,3 +122,42 @@ def test_pages(spark):
         plain = Plain()
         plain.feed(r.html)
         assert sorted("".join(plain.words)) == sorted("".join(texts[r.page_id].replace("\n- ", "\n").removeprefix("- ").split()))
+
+
+def test_held_columns_against_a_dict():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(400):
+        held, new, plain = [], [], {}
+        for out in (held, new):
+            at = 0
+            for _ in range(rng.randint(0, 5)):
+                a = at + rng.randint(0, 4)
+                at = a + rng.randint(1, 5)
+                out.append((a, at, rng.randint(1, 3)))
+                plain.update(dict.fromkeys(range(a, at), out[-1][2]))
+        found = html.covered(held, new)
+        assert {c: u for a, b, u in found for c in range(a, b)} == plain
+        assert found == sorted(found) and all(x[1] <= y[0] and not (x[1] == y[0] and x[2] == y[2]) for x, y in zip(found, found[1:]))
+
+
+def test_pages_made_to_take_long():
+    import time
+
+    span = "<tr><td colspan=1000 rowspan=65534>x"
+    for rows, seconds in ((300, 0.5), (3000, 20)):
+        began = time.perf_counter()
+        text = html.extract(f"<table>{span * rows}</table>", True)
+        assert time.perf_counter() - began < seconds and text.count("x") == rows
+    began = time.perf_counter()
+    text = html.extract("<ul><li>x" * 100_000, True)
+    assert len(text) < 100_000 * (html.INDENT + 10) and text.count("x") == 100_000 and time.perf_counter() - began < 30
+
+
+def test_tables_of_very_many_columns_keep_all_text():
+    cells = "".join(f"<td>c{k}" for k in range(1500))
+    text = html.extract(f"<table><tr>{cells}<tr><td>a<td><td>b</table>", True)
+    first, second = text.split("\n")
+    assert [x.strip() for x in first.split("|")] == [f"c{k}" for k in range(1500)]
+    assert [x.strip() for x in second.split("|")] == ["a", "", "b"]
