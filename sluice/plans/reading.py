@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice import views as V
 from sluice.plans.registry import query
-from sluice.sources import batches, mail, observations, pastes, rules, tables
+from sluice.sources import batches, mail, observations, pastes, prospects, rules, tables
 
 RULES = [{"portal": "mail0", "domains": ["mail0.example.com"], "subjects": ["click"]}, {"portal": "any", "domains": ["example.com"]}, {"portal": "fallback", "subjects": ["purchase"]}]
 
@@ -64,6 +64,21 @@ def strict_batches(spark, sf):
     return batches.read(lines, f"{V.AS_OF} 00:00:00").groupBy("refused", F.array_join("problems", ", ").alias("reasons")).agg(F.count("*").alias("n"))
 
 
+SUBJECTS = ["Interview tips", "Schedule a CALL", "We are hiring for you", "Top job picks, hiring for all", ""]
+_KIND = "CASE WHEN regexp_matches(said, '{}') THEN NULL ".format(prospects.whole_words(prospects.DIGESTS)) + " ".join(f"WHEN regexp_matches(said, '{prospects.whole_words(p)}') THEN '{k}'" for k, p in prospects.PHRASES.items()) + " END"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, lower(CASE conv_id % 5 WHEN 0 THEN '{SUBJECTS[0]}' WHEN 1 THEN '{SUBJECTS[1]}' WHEN 2 THEN '{SUBJECTS[2]}' WHEN 3 THEN '{SUBJECTS[3]}' ELSE '' END || ' ' || text) AS said FROM conversations WHERE turn % 3 <> 1)
+SELECT conv_id, turn, category FROM (SELECT conv_id, turn, {_KIND} AS category FROM m) WHERE category IS NOT NULL""")
+def mail_prospects(spark, sf):
+    """Turns as mail, two in three from the job network."""
+    c = V.read(spark, sf, "conversations")
+    sender = V.choose(V.mod("turn", 3), ["Li <x@linkedin.com>", "x@example.com", "x@e.linkedin.com"])
+    mails = c.select(F.concat_ws("/", "conv_id", "turn").alias("message_id"), F.col("conv_id").cast("string").alias("thread_id"), sender.alias("sender"), V.choose(V.mod("conv_id", 5), SUBJECTS).alias("subject"), F.col("text").alias("snippet"))
+    found = prospects.prospects(mails)
+    return found.select(F.substring_index("message_id", "/", 1).cast("long").alias("conv_id"), F.substring_index("message_id", "/", -1).cast("long").alias("turn"), "category")
+
+
 @query(f"""SELECT o_orderkey AS paste_id, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE c_name END AS company, CASE o_orderkey % 4 WHEN 2 THEN 'Clerk' ELSE o_orderpriority END AS role,
   CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE strftime(DATE '{V.AS_OF}' - CAST(o_orderkey % 9 + 1 AS INTEGER) * CASE o_orderkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 1 ELSE 30 END, '%Y-%m-%d') END AS applied_on FROM orders JOIN customer ON c_custkey = o_custkey""")
 def pasted_entries(spark, sf):
