@@ -16,7 +16,7 @@ def _known(spark, sf):
     return D.identity(V.applications(spark, sf), ascii_only=True)
 
 
-KNOWN = "WITH known AS (SELECT id, applied_date, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS company, trim(regexp_replace(lower(role), '[^a-z0-9]+', ' ', 'g')) AS role, job_url AS url FROM application WHERE record_state = 'active')"
+KNOWN = "WITH known AS MATERIALIZED (SELECT id, applied_date, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS company, trim(regexp_replace(lower(role), '[^a-z0-9]+', ' ', 'g')) AS role, job_url AS url FROM application WHERE record_state = 'active')"
 BLOCK = KNOWN + """, exact AS (SELECT l.id AS lo, r.id AS hi FROM known l JOIN known r ON l.company = r.company AND l.role = r.role AND l.id < r.id WHERE abs(epoch(l.applied_date - r.applied_date)) <= 180 * 86400)
 """
 
@@ -41,14 +41,16 @@ def dup_pairs_same_company(spark, sf):
 
 
 
-def _like(names: str, out: str) -> str:
-    """CTEs that give the likeness of names (a, b): the longest common subsequence, a row of its
+def _like(pairs: str, out: str) -> str:
+    """CTEs that give the likeness of the names (a, b) of pairs of ids: the longest common subsequence, a row of its
     table in each step. The roles of the test tables share no word, so their sets of words are as alike
     as they are."""
-    return f"""{out}_rows AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS r FROM ({names})
+    return f"""{out}_met AS MATERIALIZED (SELECT l.company AS ca, r.company AS cb, l.role AS ra, r.role AS rb FROM ({pairs}) p JOIN known l ON p.lo = l.id JOIN known r ON p.hi = r.id),
+{out}_names AS MATERIALIZED (SELECT DISTINCT ca AS a, cb AS b FROM {out}_met WHERE ca <> cb UNION SELECT DISTINCT ra, rb FROM {out}_met WHERE ra <> rb),
+{out}_rows AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS r FROM {out}_names
   UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(r) + 1), lambda j: greatest(r[j], coalesce(list_max(list_transform(range(2, j + 1), lambda k: CASE WHEN substr(b, CAST(k - 1 AS INTEGER), 1) = substr(a, CAST(i + 1 AS INTEGER), 1) THEN r[k - 1] + 1 ELSE 0 END)), 0)))
   FROM {out}_rows WHERE i < length(a)),
-{out} AS (SELECT a, b, 200.0 * r[len(r)] / (length(a) + length(b)) AS pct FROM {out}_rows WHERE i = length(a))"""
+{out} AS MATERIALIZED (SELECT a, b, 200.0 * r[len(r)] / (length(a) + length(b)) AS pct FROM {out}_rows WHERE i = length(a))"""
 
 
 def _scores(pairs: str, like: str) -> str:
@@ -63,12 +65,7 @@ def _scores(pairs: str, like: str) -> str:
     FROM ({pairs}) p JOIN known l ON p.lo = l.id JOIN known r ON p.hi = r.id LEFT JOIN {like} c ON c.a = l.company AND c.b = r.company LEFT JOIN {like} t ON t.a = l.role AND t.b = r.role)"""
 
 
-def _names(pairs: str) -> str:
-    of = f"FROM ({pairs}) p JOIN known l ON p.lo = l.id JOIN known r ON p.hi = r.id"
-    return f"SELECT DISTINCT l.company AS a, r.company AS b {of} WHERE l.company <> r.company UNION SELECT DISTINCT l.role, r.role {of} WHERE l.role <> r.role"
-
-
-PAIRS = BLOCK.replace("WITH known", "WITH RECURSIVE known") + ", met AS (SELECT lo, hi FROM exact UNION SELECT l.id, r.id FROM known l JOIN known r ON l.url = r.url AND l.id < r.id),\n" + _like(_names("SELECT * FROM met"), "alike") + ",\npairs AS (SELECT * FROM (" + _scores("SELECT * FROM met", "alike") + ") WHERE score >= 70)\n"
+PAIRS = BLOCK.replace("WITH known", "WITH RECURSIVE known") + ", met AS MATERIALIZED (SELECT lo, hi FROM exact UNION SELECT l.id, r.id FROM known l JOIN known r ON l.url = r.url AND l.id < r.id),\n" + _like("SELECT * FROM met", "alike") + ",\npairs AS MATERIALIZED (SELECT * FROM (" + _scores("SELECT * FROM met", "alike") + ") WHERE score >= 70)\n"
 
 
 @query(PAIRS + "SELECT lo, hi, score, reasons FROM pairs")
@@ -83,8 +80,8 @@ def dup_pairs_undismissed(spark, sf):
     return D.undismissed(found, gone).select("lo", "hi", "score")
 
 
-COMPONENTS = PAIRS + """, e AS (SELECT lo AS a, hi AS b FROM pairs UNION SELECT hi, lo FROM pairs), walk AS (SELECT a AS id, a AS seen FROM e UNION SELECT w.id, e.b FROM walk w JOIN e ON e.a = w.seen),
-g AS (SELECT id, min(seen) AS root FROM walk GROUP BY 1)
+COMPONENTS = PAIRS + """, e AS MATERIALIZED (SELECT lo AS a, hi AS b FROM pairs UNION SELECT hi, lo FROM pairs), walk AS (SELECT a AS id, a AS seen FROM e UNION SELECT w.id, e.b FROM walk w JOIN e ON e.a = w.seen),
+g AS MATERIALIZED (SELECT id, min(seen) AS root FROM walk GROUP BY 1)
 """
 
 
@@ -94,7 +91,7 @@ def dup_groups(spark, sf):
 
 
 _ALL = "SELECT x.id AS lo, y.id AS hi FROM g x JOIN g y ON x.root = y.root AND x.id < y.id"
-FEATURES = COMPONENTS + ", every AS (" + _ALL + "),\n" + _like(_names("SELECT * FROM every"), "likeness") + ",\nscored AS (" + _scores("SELECT * FROM every", "likeness") + """),
+FEATURES = COMPONENTS + ", every AS MATERIALIZED (" + _ALL + "),\n" + _like("SELECT * FROM every", "likeness") + ",\nscored AS MATERIALIZED (" + _scores("SELECT * FROM every", "likeness") + """),
 spread AS (SELECT root, count(*) AS size, date_diff('day', CAST(min(applied_date) AS DATE), CAST(max(applied_date) AS DATE)) AS days, count(DISTINCT url) AS urls, count(DISTINCT role) AS roles FROM g JOIN known USING (id) GROUP BY 1),
 extremes AS (SELECT root, min(score) AS min_score, max(score) AS max_score, count(*) AS pairs, count_if(reasons LIKE '%job URL%') AS same_urls, count_if(reasons LIKE '%Same normalized company%') AS same_companies,
   count_if(reasons LIKE '%Similar company%') AS similar_companies, count_if(reasons LIKE '%Same normalized role%') AS same_roles, count_if(reasons LIKE '%far apart%') AS far_apart FROM scored JOIN g ON g.id = lo GROUP BY 1),
