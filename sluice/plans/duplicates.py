@@ -93,8 +93,8 @@ def dup_groups(spark, sf):
 _ALL = "SELECT x.id AS lo, y.id AS hi FROM g x JOIN g y ON x.root = y.root AND x.id < y.id"
 FEATURES = COMPONENTS + ", every AS MATERIALIZED (" + _ALL + "),\n" + _like("SELECT * FROM every", "likeness") + ",\nscored AS MATERIALIZED (" + _scores("SELECT * FROM every", "likeness") + """),
 spread AS (SELECT root, count(*) AS size, date_diff('day', CAST(min(applied_date) AS DATE), CAST(max(applied_date) AS DATE)) AS days, count(DISTINCT url) AS urls, count(DISTINCT role) AS roles FROM g JOIN known USING (id) GROUP BY 1),
-extremes AS (SELECT root, min(score) AS min_score, max(score) AS max_score, count(*) AS pairs, count_if(reasons LIKE '%job URL%') AS same_urls, count_if(reasons LIKE '%Same normalized company%') AS same_companies,
-  count_if(reasons LIKE '%Similar company%') AS similar_companies, count_if(reasons LIKE '%Same normalized role%') AS same_roles, count_if(reasons LIKE '%far apart%') AS far_apart FROM scored JOIN g ON g.id = lo GROUP BY 1),
+extremes AS (SELECT root, min(score) AS min_score, max(score) AS max_score, count(*) AS pairs, count(*) FILTER (reasons LIKE '%job URL%') AS same_urls, count(*) FILTER (reasons LIKE '%Same normalized company%') AS same_companies,
+  count(*) FILTER (reasons LIKE '%Similar company%') AS similar_companies, count(*) FILTER (reasons LIKE '%Same normalized role%') AS same_roles, count(*) FILTER (reasons LIKE '%far apart%') AS far_apart FROM scored JOIN g ON g.id = lo GROUP BY 1),
 features AS (SELECT * FROM spread JOIN extremes USING (root))
 """
 
