@@ -28,14 +28,22 @@ def superseded_history(history: DataFrame, *by: str) -> DataFrame:
     return history.withColumn("_n", F.row_number().over(w)).filter("_n > 1").drop("_n")
 
 
+def asked_history(history: DataFrame, milestones: DataFrame, *by: str) -> DataFrame:
+    """The history of those records of which a milestone names a row: of no other does it
+    matter to milestones which rows are superseded."""
+    named = milestones.filter("history_id IS NOT NULL").select(F.col("history_id").alias("id")).distinct()
+    asked = history.join(named, "id", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+    return history.join(asked, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left_semi")
+
+
 def superseded_milestones(milestones: DataFrame, gone_history: DataFrame, *by: str) -> DataFrame:
     """Milestones of superseded history, and those that repeat an earlier one: of the same
     type where that happens once, else of the same type, round and day."""
     dropped = gone_history.select(F.col("id").alias("history_id"), F.lit(True).alias("_gone")).distinct()
     marked = milestones.join(dropped, "history_id", "left")
-    once = F.col("event_type").isin(ONCE)
-    key = F.when(once, F.lit("")).otherwise(F.concat_ws("|", F.coalesce("interview_round", F.lit("-")), F.date_format("occurred_at", "yyyy-MM-dd")))
-    w = Window.partitionBy(*by, "event_type", key).orderBy("occurred_at", "id")
+    often = ~F.coalesce(F.col("event_type").isin(ONCE), F.lit(False))
+    day = F.to_date("occurred_at")
+    w = Window.partitionBy(*by, "event_type", F.when(often, F.coalesce("interview_round", F.lit("-"))), F.when(often, day)).orderBy("occurred_at", "id")
     rest = marked.filter("_gone IS NULL").withColumn("_n", F.row_number().over(w)).filter("_n > 1").drop("_n", "_gone")
     return rest.unionByName(marked.filter("_gone").drop("_gone"))
 
@@ -61,7 +69,12 @@ def plan(groups: DataFrame, applications: DataFrame, chosen: DataFrame, most: in
     rank = F.coalesce(F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])[F.col("current_status")], F.lit(-1))
     top = F.struct(rank.alias("r"), (F.col("id") == F.col("survivor")).alias("own"), (-F.col("id")).alias("i"))
     picks = [F.min_by(f, F.when(~empty(f), own)).alias(f) for f in own_fields]
-    differ = lambda f, value=None: F.count_distinct(F.when(~empty(f), F.col(f) if value is None else value)) > 1
+
+    def differ(f: str, value: Column | None = None) -> Column:
+        """Whether there are two values: by the least and the greatest, as counts of distinct ones need each row several times."""
+        known = F.when(~empty(f), F.col(f) if value is None else value)
+        return F.coalesce(F.min(known) != F.max(known), F.lit(False))
+
     clash = [F.when(differ(f), f) for f in own_fields]
     days = F.floor(F.timestamp_diff("SECOND", F.min("applied_date"), F.max("applied_date")) / 86400)
     ids = [F.when(differ("external_job_id"), "different job ids")] if "external_job_id" in own_fields else []
@@ -71,7 +84,7 @@ def plan(groups: DataFrame, applications: DataFrame, chosen: DataFrame, most: in
     threads = F.when(F.col("asked") <= most, F.struct(own.alias("o"), "thread_ids"))
     return a.groupBy("root", "survivor").agg(
         F.min("applied_date").alias("applied_date"), F.max_by("current_status", top).alias("current_status"), *picks, F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(threads)), lambda x: x["thread_ids"]))).alias("thread_ids"),
-        F.array_compact(F.array(*clash, F.when(F.count_distinct("current_status") > 1, "current_status"))).alias("conflicts"),
+        F.array_compact(F.array(*clash, F.when(F.min("current_status") != F.max("current_status"), "current_status"))).alias("conflicts"),
         F.array_compact(F.array(*warnings)).alias("warnings"), F.array_compact(F.array(*blocking)).alias("blocking"), F.count("*").alias("n"),
     )
 

@@ -12,7 +12,7 @@ from sluice.plans.registry import query
 
 def _groups(spark, sf):
     """Visible applications of one company and role that are open or closed alike."""
-    apps = V.applications(spark, sf).filter("record_state = 'active' AND NOT is_false_positive")
+    apps = V.applications(spark, sf, updated=False).filter("record_state = 'active' AND NOT is_false_positive")
     roots = apps.groupBy("company", "role").agg(F.min("id").alias("root"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return apps.join(roots, ["company", "role"]).select("root", "id")
 
@@ -30,8 +30,9 @@ e AS (SELECT *, history_id IN (SELECT id FROM gone) AS g FROM milestone),
 k AS (SELECT id, row_number() OVER (PARTITION BY application_id, event_type, CASE WHEN event_type IN ('Application Submitted', 'Offer Received', 'Rejected') THEN '' ELSE coalesce(interview_round, '-') || '|' || strftime(occurred_at, '%Y-%m-%d') END ORDER BY occurred_at, id) AS n FROM e WHERE NOT coalesce(g, false))
 SELECT id FROM e WHERE g UNION ALL SELECT id FROM k WHERE n > 1""")
 def superseded_milestones(spark, sf):
-    gone = M.superseded_history(V.history(spark, sf), "application_id")
-    return M.superseded_milestones(V.milestones(spark, sf), gone, "application_id").select("id")
+    milestones = V.milestones(spark, sf)
+    gone = M.superseded_history(M.asked_history(V.history(spark, sf), milestones, "application_id"), "application_id")
+    return M.superseded_milestones(milestones, gone, "application_id").select("id")
 
 
 SURVIVORS = GROUPS + """, ev AS (SELECT application_id, count(*) AS n, bool_or(decided_by = 'human') AS human FROM evidence WHERE application_id IS NOT NULL GROUP BY 1),
@@ -41,7 +42,7 @@ s AS (SELECT g.root, a.*, row_number() OVER (PARTITION BY g.root ORDER BY coales
 
 @query(SURVIVORS + "SELECT root, id AS survivor FROM s WHERE rn = 1")
 def merge_survivors(spark, sf):
-    return M.survivors(_groups(spark, sf), V.applications(spark, sf), V.evidence(spark, sf))
+    return M.survivors(_groups(spark, sf), V.applications(spark, sf, updated=False), V.evidence(spark, sf))
 
 
 def _plan(spark, sf):
@@ -55,7 +56,7 @@ NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def _plan(spark, sf):
-    apps, groups = V.applications(spark, sf), _groups(spark, sf)
+    apps, groups = V.applications(spark, sf, updated=False), _groups(spark, sf)
     return M.plan(groups, apps, M.survivors(groups, apps, V.evidence(spark, sf)), MOST)
 
 

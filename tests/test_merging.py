@@ -132,3 +132,24 @@ def test_one_step_over_all_tables(spark, tmp_path):
     # undoing from what the complete batches have kept
     was = ingest.rows_of(spark, root, "snapshot_applications", apps.schema).filter("batch = 0").drop("batch")
     assert state(was) == state(apps.filter("id IN (1, 2)"))
+
+
+def test_a_plan_reads_each_row_once(spark):
+    """Whether a group's values differ takes no copy of a row for each field."""
+    apps = spark.createDataFrame([app(1, job_url="https://a"), app(2, role="Cook"), app(3, job_url="https://b")], APPS)
+    groups = spark.createDataFrame([(1, i) for i in (1, 2, 3)], "root long, id long")
+    planned = M.plan(groups, apps, spark.createDataFrame([(1, 1)], "root long, survivor long"))
+    assert planned.collect()[0].conflicts == ["role", "job_url"]
+    assert planned._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 0
+
+
+def test_milestones_need_the_history_that_they_name(spark):
+    """Rows of records that no milestone names aren't sorted; what is superseded stays the same."""
+    day = lambda n: DAY + timedelta(days=n)
+    history = spark.createDataFrame([(i, a, "Applied", "Offer", day(i), None) for i, a in ((1, 10), (2, 10), (3, 20), (4, 20), (5, None), (6, None), (7, 30), (8, 30))], CHILDREN["history"])
+    rows = [(1, 10, "Offer Received", day(1), None, 2, None), (2, None, "Interview Scheduled", day(2), "HR", 6, None), (3, 30, "Interview Scheduled", day(3), "HR", None, None), (4, 30, "Interview Scheduled", day(3), "HR", 7, None), (5, 30, "Interview Scheduled", day(4), "HR", None, None)]
+    milestones = spark.createDataFrame(rows, CHILDREN["milestones"])
+    asked = M.asked_history(history, milestones, "application_id")
+    assert {r.id for r in asked.collect()} == {1, 2, 5, 6, 7, 8}
+    by = [{r.id for r in M.superseded_milestones(milestones, M.superseded_history(h, "application_id"), "application_id").collect()} for h in (history, asked)]
+    assert by == [{1, 2, 4}] * 2
