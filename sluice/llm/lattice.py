@@ -262,6 +262,20 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS, ends: int = 0) -> np.
     return logs
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _looked_up(packed: bytes, bound: float) -> dict[bytes, tuple[bool, float, float]]:
+    """Of each word (word, c, lp) whether it is known, its base score and its log probability."""
+    table = pa.ipc.open_stream(packed).read_all()
+    c = table.column("c").to_numpy()
+    return dict(zip(table.column("word").to_pylist(), zip((c > 0).tolist(), np.log10((c + 1.0) / bound).tolist(), table.column("lp").to_pylist(), strict=True), strict=True))
+
+
 def score_documents(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, held_out (crc32 of the id's text mod modulus is held), n_tokens,
     n_known, train_tokens, base_score and score, both in log10."""
@@ -286,14 +300,15 @@ def score_documents(docs: DataFrame, path: str, modulus: int = 7, held: int = 2,
     lexicon = written(counted.mapInArrow(mark, "word binary, c long, n long, lp double"), "lexicon")
     bound = float(train_tokens + types + 1)
     base = lambda c: np.log10((c + 1.0) / bound)
-    top = lexicon.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    sent = spark.sparkContext.broadcast({bytes(r.word): (r.c > 0, float(base(r.c)), r.lp) for r in top})
-    edge = (top[-1].n, bytes(top[-1].word)) if len(top) == FREQUENT else None
+    top = lexicon.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow().combine_chunks()  # columns: a row object each takes several times the memory
+    edge = (top.column("n")[-1].as_py(), top.column("word")[-1].as_py()) if len(top) == FREQUENT else None
+    sent = spark.sparkContext.broadcast(_packed(top.select(["word", "c", "lp"])))
+    del top
     end = (int(ends > 0), float(base(ends)), float(logs[-1] / np.log(10)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        table = sent.value
+        table = _looked_up(sent.value, bound)
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
