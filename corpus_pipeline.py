@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import langid, near_copies, packing, quality, suffix_dedup
+from sluice.llm import langid, near_copies, packing, quality, simhash, suffix_dedup
 from sluice.llm.common import released, table, written
 from sluice.llm.entries import tokenizer_path
 
@@ -44,8 +44,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops near copies (five-word shingles, Jaccard of 0.8 or more) of documents of a
-    smaller id."""
-    return near_copies.keep_one(docs)
+    smaller id: those that op8's fingerprints group with one, verified on the whole sets of shingles, and then
+    those that differ in more bits than its search reaches."""
+    return near_copies.keep_one(simhash.keep_one(docs, verify=near_copies.copies_of))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

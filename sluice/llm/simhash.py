@@ -22,7 +22,7 @@ an empty result, further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -153,9 +153,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(by_class, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify: Callable[[DataFrame, DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
     """The documents whose id is their component's smallest; rows of a null id stay,
-    and so do repeated rows of the smallest id."""
+    and so do repeated rows of the smallest id. verify(docs, pairs, id_col, text_col) gives which of the pairs
+    (first, other) of a component's smallest id and another one are copies: only these go."""
     found = simhash_components(docs, id_col, text_col)
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    pairs = found.filter(F.col("component_id") != F.col(id_col)).select(F.col("component_id").alias("first"), F.col(id_col).alias("other")).distinct()
+    gone = pairs if verify is None else verify(docs, written(pairs, "pairs"), id_col, text_col)
+    gone = gone.select(F.col("other").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

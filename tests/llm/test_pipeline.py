@@ -82,3 +82,20 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_near_duplicates_go_by_fingerprints_first(spark):
+    """op8's groups lead to copies, which are verified: empty texts and those of one fingerprint but of other words stay."""
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text.upper()), (3, text + " more"), (4, ""), (5, "q r s"), (None, text)], "doc_id long, text string")
+    asked = []
+
+    def verify(rows, pairs, id_col, text_col):
+        asked.extend(sorted(tuple(r) for r in pairs.collect()))
+        return near_copies.copies_of(rows, pairs, id_col, text_col)
+
+    kept = corpus_pipeline.simhash.keep_one(docs, verify=verify)
+    assert (1, 2) in asked
+    assert {1, 4, 5, None} <= {r.doc_id for r in kept.collect()} and 2 not in {r.doc_id for r in kept.collect()}
+    wrong = spark.createDataFrame([(1, 2), (1, 3), (1, 5)], "first long, other long")
+    assert {r.other for r in near_copies.copies_of(docs, wrong).collect()} == {2, 3}
