@@ -4,14 +4,15 @@ Each line is a batch {batch_key, sent_at, observations: [...]}. Lines are read a
 fields that no schema has are seen, and lie in quarantine with the reason in place of being dropped unseen.
 A batch that breaks a limit of its own (its fields, key, time, size, or number of observations)
 is refused whole, and so is one in which any observation is bad, as its sender must send it again; `problems`
-names the batch's and the observation's faults. Counts within a batch are partial aggregates.
+names the batch's and the observation's faults. Counts within a batch are windows over its
+observations.
 
 `accepted` and `quarantine` split the observations of `read`. Lines that are no object are quarantined
 as such; a null line is one of them. An empty table has no rows in either."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.sources.observations import SOURCE, SOURCES, STATUSES
@@ -74,8 +75,9 @@ def read(lines: DataFrame, as_of: str, column: str = "value", hosts: dict[str, l
     whole = each.withColumns({"fields": names, "zoned": get(o, "observed_at", "string").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), "said": F.array(*[F.when(get(o, f, "string").isNotNull(), F.lit(f)) for f in FIELDS])}).select("line", "batch_key", "of_batch", "place", "fields", "zoned", "said", o.isNotNull().alias("here"), *[c.alias(f) for f, c in typed.items()])
     f = F.col
     unread = [f(name).isNull() & F.array_contains("said", name) for name in FIELDS]
-    counts = whole.filter("source_item_id IS NOT NULL").groupBy("line", "source_key", "source_item_id").agg(F.count("*").alias("times")).filter("times > 1")
-    joined = whole.join(counts, [whole.line.eqNullSafe(counts.line), whole.source_key.eqNullSafe(counts.source_key), whole.source_item_id == counts.source_item_id], "left").select(whole["*"], counts.times)
+    # a batch was one row, so its observations are few enough for one place; nothing is parsed twice for a join
+    same = Window.partitionBy("line", "source_key", "source_item_id")
+    joined = whole.repartition("line").withColumn("times", F.when(f("source_item_id").isNotNull(), F.count("*").over(same)))
     host = F.lower(F.regexp_extract("job_url", r"^https://([^/?#:@]+)", 1))
     allowed = _on_hosts(hosts, host) if hosts is not None else F.lit(True)
     of_row = _named({
@@ -97,8 +99,8 @@ def read(lines: DataFrame, as_of: str, column: str = "value", hosts: dict[str, l
         "an unknown status proves nothing": (f("status") == "unknown") & f("proves_submission"),
     })
     marked = joined.withColumn("of_row", of_row)
-    bad = marked.groupBy("line").agg(F.max(F.size("of_row") > 0).alias("some_bad"))
-    return marked.join(bad, "line").select("line", "batch_key", "place", *FIELDS, F.concat("of_batch", "of_row").alias("problems"), (F.col("some_bad") | (F.size("of_batch") > 0)).alias("refused"))
+    bad = marked.withColumn("some_bad", F.max(F.size("of_row") > 0).over(Window.partitionBy("line")))
+    return bad.select("line", "batch_key", "place", *FIELDS, F.concat("of_batch", "of_row").alias("problems"), (F.col("some_bad") | (F.size("of_batch") > 0)).alias("refused"))
 
 
 def accepted(rows: DataFrame) -> DataFrame:

@@ -83,3 +83,12 @@ def test_doubled_ids_and_foreign_hosts(spark):
     assert by[2, 0] == by[3, 0] == ["a foreign host"] and by[4, None] == ["not an object"]
     assert {r.line for r in rows if not r.refused} == {1}
     assert read(spark, lines).filter("line = 2").first().problems == []
+
+
+def test_lines_are_parsed_once(spark):
+    """Counts and refusals come from windows: no join reads and parses the lines again."""
+    lines = spark.createDataFrame([('{"batch_key": "batch-0001", "sent_at": "2001-08-01T00:00:00Z", "observations": [{"source_item_id": "a"}, {"source_item_id": "a"}, {}]}',), (None,)], "value string")
+    rows = batches.read(lines, "2001-08-01 00:00:00")
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted((r.place if r.place is not None else -1, "a doubled id" in r.problems, r.refused) for r in rows.collect())
+    assert [x[:2] for x in found] == [(-1, False), (0, True), (1, True), (2, False)]
