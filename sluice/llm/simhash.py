@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t.as_py() or "") for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=[id_col, "fp"])
 
     return docs.select(id_col, text_col).mapInArrow(run, docs.select(id_col).schema.add("fp", "long"))

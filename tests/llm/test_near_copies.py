@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from sluice.llm import near_copies, simhash
+from sluice.llm import common, near_copies, simhash
 
 DOCS = "doc_id long, text string, n int"
 
@@ -103,3 +104,16 @@ def test_columns_of_any_name(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, d int, m int, gone int, i int")
     kept = near_copies.keep_one(df)
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == rows[:1]
+
+
+def test_texts_come_in_small_batches(spark):
+    """As many rows at once as `written` is told, and the session's own size afterwards."""
+    usual = spark.conf.get(common.BATCH)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    sizes = common.written(spark.range(0, 1800, 1, 1).mapInArrow(run, "n long"), "sizes", batch=near_copies.TEXTS).collect()
+    assert sum(r.n for r in sizes) == 1800 and max(r.n for r in sizes) <= near_copies.TEXTS
+    assert spark.conf.get(common.BATCH) == usual
