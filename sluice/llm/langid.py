@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import slices
+
 WINDOW = 48
 HIDDEN = 8
 STEPS = 260
@@ -227,12 +229,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds lang_pred and score to the id and the carried columns."""
     columns = [id_col, *(carry or [])]
+    read = columns if text_col in columns else [*columns, text_col]  # a carried text travels once
+    at = read.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
+        for batch in slices(batches):
+            texts = batch.column(at).to_pylist()
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             todo = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net else []
             while todo:
@@ -246,7 +250,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
 
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*columns, text_col).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

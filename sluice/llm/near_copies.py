@@ -32,15 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import TEXTS, written
 
 WORDS = 5
 SIMILAR = 0.8
 ROWS = 5
 BANDS = 30
 STARS = 2
-#: Texts that a Python worker and the JVM hold at once, with their sets of hashes.
-TEXTS = 500
 SEED = 42
 _RNG = np.random.default_rng(80)
 FIRST, SECOND = _RNG.integers(0, 1 << 64, (2, ROWS * BANDS), dtype=np.uint64) | np.uint64(1)

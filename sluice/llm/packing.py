@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import slices, written
 
 EPSILON = 0.003
 STEP = 1.0
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end: int, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             at, no, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 raw = bpe.encode(text or "") + stop

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import slices
+
 SAMPLE = 2500
 DIM = 64
 NONZERO = 4
@@ -182,18 +184,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to the id and the carried columns."""
     columns = [id_col, *(carry or [])]
+    read = columns if text_col in columns else [*columns, text_col]  # a carried text travels once
+    at = read.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the cache holds many small objects and no cycles
         net = sent.value
-        for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            found = np.concatenate([net.scores(texts[i : i + 256]) if net else np.full(len(texts[i : i + 256]), 0.5) for i in range(0, len(texts), 256)]) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
+        try:
+            for batch in slices(batches):
+                texts = batch.column(at).to_pylist()
+                found = np.concatenate([net.scores(texts[i : i + 256]) if net else np.full(len(texts[i : i + 256]), 0.5) for i in range(0, len(texts), 256)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
+        finally:  # the worker goes on to other tasks
+            if net:
+                net.units.known.clear()
+            gc.enable()
 
     schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*columns, text_col).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

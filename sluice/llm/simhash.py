@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import TEXTS, written
 from sluice.llm.components import Forest, components
 
 WORDS = 4
@@ -144,7 +144,7 @@ def find_links(distinct: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    own = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    own = written(fingerprints(docs, id_col, text_col), "fingerprints", batch=TEXTS)
     classes = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     nodes = components(find_links(classes.select("fp")))
     rooted = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

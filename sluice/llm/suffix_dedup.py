@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sluice.llm.common import released, written
+from sluice.llm.common import released, slices, written
 from sluice.llm.suffix import Hashes, equal_to_previous, mix, sort_suffixes
 
 WIDTH = 100
@@ -101,7 +101,7 @@ def find_anchors(docs: DataFrame) -> DataFrame:
     """(h, o, t, v) per anchor; o, t name the document and v packs the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             o, t = batch.column("o").to_numpy(), batch.column("t").to_numpy()
             for a, b in grouped(texts):
@@ -178,7 +178,7 @@ def stretches(docs: DataFrame, dups: DataFrame) -> DataFrame:
     lists = dups.groupBy("o", "t").agg(F.collect_list("v").alias("vs"), F.collect_list("g").alias("gs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(5)]
             size = 0
             for o, t, text, vs, gs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -374,7 +374,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(4)]
             for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw, gone = text.encode(), union(found or [])
@@ -395,12 +395,13 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_c
     """The documents with repeated stretches cut out; what that leaves broken of a
     character goes too. Documents without any text left go; n_chars follows the text."""
     columns = docs.columns
-    joined = _joined(docs, id_col, text_col, columns)
+    carry = [c for c in columns if c != text_col]
+    joined = _joined(docs, id_col, text_col, carry)
     schema = docs.select(text_col).schema
     types = [to_arrow_type(f.dataType) for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep, texts = [], []
             for row, (text, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if found:
@@ -420,7 +421,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_c
                 elif c == n_chars_col:
                     out.append(pa.array([len(t) for t in texts], types[k]))
                 else:
-                    out.append(batch.column(2 + k).take(pa.array(keep, pa.int64())))
+                    out.append(batch.column(2 + carry.index(c)).take(pa.array(keep, pa.int64())))
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
     assert len(schema) == 1

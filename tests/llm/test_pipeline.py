@@ -1,13 +1,15 @@
+import gc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sluice.llm import near_copies, suffix_dedup
+from sluice.llm import common, langid, near_copies, quality, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +101,34 @@ def test_near_duplicates_go_by_fingerprints_first(spark):
     assert {1, 4, 5, None} <= {r.doc_id for r in kept.collect()} and 2 not in {r.doc_id for r in kept.collect()}
     wrong = spark.createDataFrame([(1, 2), (1, 3), (1, 5)], "first long, other long")
     assert {r.other for r in near_copies.copies_of(docs, wrong).collect()} == {2, 3}
+
+
+def test_a_large_batch_is_worked_on_in_slices(spark):
+    """Texts are carried once, and no more rows than PART are decoded or given back at once."""
+    seen = {}
+
+    class Frame:
+        """As much of a data frame as predict and score ask for; keeps what they send to Python."""
+
+        sparkSession = spark
+
+        def __init__(self, df):
+            self.df, self.columns, self.schema = df, df.columns, df.schema
+
+        def select(self, *columns):
+            return Frame(self.df.select(*columns))
+
+        def mapInArrow(self, run, schema):
+            seen.update(columns=self.columns, run=run)
+
+    df = spark.createDataFrame([(1, "a", "b c")], "i long, l string, t string")
+    n = 3 * common.PART + 5
+    sent = {"i": pa.array(range(n)), "l": pa.array(["x"] * n), "t": pa.array(["b c"] * n)}
+    for step in (langid.predict, quality.score):
+        step(Frame(df), None, text_col="t", id_col="i", carry=["l", "t"])
+        assert seen["columns"] == ["i", "l", "t"]
+        out = list(seen["run"](iter([pa.RecordBatch.from_pydict(sent)])))
+        assert max(b.num_rows for b in out) <= common.PART
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(n))
+        assert all(b.column(2).to_pylist() == ["b c"] * b.num_rows for b in out)
+        assert gc.isenabled()
