@@ -57,10 +57,11 @@ SELECT max(more OR doubled) OVER (PARTITION BY line) AS refused, concat_ws(', ',
 def strict_batches(spark, sf):
     """The sightings of an order as a batch; some say more than the contract names."""
     o = V.observations(spark, sf)
-    said = [F.col("source_key"), F.col("item_key").alias("source_item_id"), F.lit("Acme").alias("company"), F.lit("applied").alias("status"), F.lit(True).alias("proves_submission"), F.lit("verified").alias("extraction"), F.lit("2001-07-31T10:00:00Z").alias("observed_at"), F.lit("1.0").alias("adapter_version")]
-    row = F.to_json(F.struct(*said, F.when(F.pmod("id", F.lit(10)) == 0, "x").alias("note")))
-    head = '{"batch_key": "batch-0001", "sent_at": "2001-08-01T00:00:00Z", "observations": ['
-    lines = o.groupBy(F.floor(F.col("id") / 8).alias("order")).agg(F.concat(F.lit(head), F.array_join(F.collect_list(row), ","), F.lit("]}")).alias("value"))  # an order has a few lines
+    named = F.collect_list(F.struct("source_key", F.col("item_key").alias("source_item_id"), F.when(F.pmod("id", F.lit(10)) == 0, "x").alias("note")))
+    each = {"company": "Acme", "status": "applied", "proves_submission": True, "extraction": "verified", "observed_at": "2001-07-31T10:00:00Z", "adapter_version": "1.0"}
+    rows = F.transform("named", lambda x: F.struct(*[x[n].alias(n) for n in ("source_key", "source_item_id")], *[F.lit(v).alias(n) for n, v in each.items()], x["note"].alias("note")))
+    head = '{"batch_key": "batch-0001", "sent_at": "2001-08-01T00:00:00Z", "observations": '
+    lines = o.groupBy(F.floor(F.col("id") / 8).alias("order")).agg(named.alias("named")).select(F.concat(F.lit(head), F.to_json(rows), F.lit("}")).alias("value"))  # an order has a few lines
     return batches.read(lines, f"{V.AS_OF} 00:00:00").groupBy("refused", F.array_join("problems", ", ").alias("reasons")).agg(F.count("*").alias("n"))
 
 

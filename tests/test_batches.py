@@ -92,3 +92,19 @@ def test_lines_are_parsed_once(spark):
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     found = sorted((r.place if r.place is not None else -1, "a doubled id" in r.problems, r.refused) for r in rows.collect())
     assert [x[:2] for x in found] == [(-1, False), (0, True), (1, True), (2, False)]
+
+
+def test_odd_values_and_steps(spark):
+    """Values of other kinds keep their meaning, and a batch's observations are read in two steps of generated code."""
+    lines = [batch(observation(1, role={"a": [1]}, proves_submission="yes"), observation(2, proves_submission=1, company=5), observation(3, proves_submission=[True], observed_at=7), None, 3, observation(4, source_item_id=None)), batch(observation(5)), '{"observations": {}, "a": 1}']
+    rows = read(spark, lines)
+    found = {(r.line, r.place): r for r in rows.collect()}
+    assert (found[0, 0].role, found[0, 0].proves_submission, found[0, 0].problems) == ('{"a":[1]}', True, [])
+    assert (found[0, 1].company, found[0, 1].proves_submission, found[0, 1].problems) == ("5", True, [])
+    assert found[0, 2].proves_submission is None and found[0, 2].problems == ["a field can't be read"]
+    assert found[0, 3].problems == found[0, 4].problems == ["not an object", "a field is missing"] and found[0, 5].problems == []
+    assert found[1, 0].refused is False and found[0, 0].refused and found[2, None].problems == ["batch has more fields", "no batch key", "sent at no time", "no observations"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.observations") == 2 and "lambda" not in plan
+    steps = rows._jdf.queryExecution().debug().codegenToSeq()
+    assert all(steps.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(steps.size()))  # the JVM compiles no larger method
